@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,12 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, even where ``use`` refers to it inside lambdas
+    (an outer column that the optimiser inlines into a lambda would be computed for each element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(col: Column, separators: str) -> Column:
     """The words between runs of ``separators`` (a Java class with +); null gives an empty array."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), separators), lambda w: w != F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_count, token_records
+from . import byte_bpe, decontaminate, quality, token_count, token_records
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, tokenizer("byte_bpe_50k.json")).drop("text")
 
 
+def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality.apply_policy(led, "v1").withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base"))) != 0)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, tokenizer("piece_bpe_32k.model"))
@@ -38,8 +50,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_records": op2_token_records, "op4_byte_bpe": op4_byte_bpe, "op9_token_counts": op9_token_counts}
+    found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_ledger": quality.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}
