@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, pii, quality, simhash, token_count, token_records
+from . import byte_bpe, decontaminate, pii, quality, simhash, token_count, token_records, warc
 
 
 def tokenizer(name: str) -> str:
@@ -58,10 +58,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_ledger": quality.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}
+    return {"op7_quality_ledger": quality.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
