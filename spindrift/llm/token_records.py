@@ -207,7 +207,7 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int, folder: str, doc_i
         enc, offset, ordinal = encoder(tokenizer), 0, 0
         width = np.dtype(enc.dtype).itemsize
         end = np.array([end_id], enc.dtype).tobytes()
-        with fs.open_output_stream(f"{path}/{name}") as out:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
                 for at, part in chunks(batch.text.tolist(), TOGETHER):
                     docs = batch.doc_id.iloc[at : at + len(part)]
@@ -238,7 +238,7 @@ def scan_files(index: DataFrame, folder: str) -> DataFrame:
         fs, path = open_fs(folder)
         for shard, name, n in (x for b in batches for x in b.itertuples(index=False)):
             tail, start, ordinal = b"", 0, 0
-            with fs.open_input_stream(f"{path}/{name}") as f:
+            with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
                 while True:
                     more = f.read(READ)
                     tail += more

@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
         packer = zstandard.ZstdCompressor(level=6, write_content_size=True)
         buffer, frames, places = bytearray(), [], []
-        with fs.open_output_stream(f"{path}/{name}") as out:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
 
             def close() -> None:
                 packed = packer.compress(bytes(buffer))
