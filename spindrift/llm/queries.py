@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, pii, quality, simhash, token_count, token_records, toxicity, warc
+from . import byte_bpe, decontaminate, html_extract, pii, quality, simhash, token_count, token_records, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_records.token_records(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2)
     return got.select("doc_id", "start", "n_tokens", "ids_crc32")
