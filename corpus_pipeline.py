@@ -20,20 +20,20 @@ TOXIC, KEY = 0.3, "production-key"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below ``TOXIC``; learnt from the labels of the input's documents."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").filter(F.col("_score") < TOXIC).drop("_score")
+    return toxicity.score(docs, model, out="__sd_score").filter(F.col("__sd_score") < TOXIC).drop("__sd_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of linked fingerprints the document with the smallest doc_id.
 
-    Of rows with equal doc_id and text one stays. Documents without a doc_id can't be named as the one
+    Of rows with equal doc_id and text one stays; rows that share only their doc_id stay or go together. Documents without a doc_id can't be named as the one
     that stays; they are kept unless their group has a document with one.
     """
     groups = simhash.near_duplicates(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__sd_n"))
     stays = write_table(stays, "simhash-kept")
-    once = docs.join(stays.filter("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(stays.filter("_n > 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    once = docs.join(stays.filter("__sd_n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(stays.filter("__sd_n > 1").select(F.col("doc_id").alias("__sd_id")), F.col("doc_id").eqNullSafe(F.col("__sd_id")), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, KEY, count="_entities").drop("_entities")
+    out = pii.pseudonymise(docs, KEY, count="__sd_entities").drop("__sd_entities")
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
 
 

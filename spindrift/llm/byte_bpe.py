@@ -304,5 +304,5 @@ def round_trip_digests(df: DataFrame, path: str, text: str = "text") -> DataFram
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(list(digests(batch.tolist())), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    got = df.withColumn("_digests", run(text_or_empty(text)))
-    return got.withColumns({c: F.col(f"_digests.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digests")
+    got = df.withColumn("__sd_digests", run(text_or_empty(text)))
+    return got.withColumns({c: F.col(f"__sd_digests.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__sd_digests")

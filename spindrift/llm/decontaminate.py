@@ -57,7 +57,7 @@ def occurrences(docs: DataFrame, wins: DataFrame, key: str, text: str = "text",
     # shingles have `shingle` words, or all words of a shorter window; each length is searched by itself
     w = wins.select("win", "n").distinct().withColumn("k", F.least("n", F.lit(shingle)))
     parts = w.select("win", "n", "k", F.split("win", " ").alias("ws"))
-    cut = F.lit(None)
+    cut = F.lit(None).cast("array<string>")
     lengths = sorted(r.k for r in w.select("k").distinct().collect())  # at most `shingle` numbers
     for k in lengths:
         cut = F.when(F.col("k") == k, shingles(F.col("ws"), k)).otherwise(cut)
@@ -66,13 +66,13 @@ def occurrences(docs: DataFrame, wins: DataFrame, key: str, text: str = "text",
     vocabulary = need.select("sh").distinct()
     if vocabulary.count() <= BROADCAST_SHINGLES:
         vocabulary = F.broadcast(vocabulary)
-    base = docs.select(F.col(key).alias("_k"), plain_words(text).alias("ws"))
+    base = docs.select(F.col(key).alias("__sd_k"), plain_words(text).alias("ws"))
     found = None
     for k in lengths:
-        places = base.select("_k", F.posexplode(shingles(F.col("ws"), k)).alias("at", "sh"))
+        places = base.select("__sd_k", F.posexplode(shingles(F.col("ws"), k)).alias("at", "sh"))
         found = places if found is None else found.unionByName(places)
     if found is None:
-        found = base.select("_k", F.lit(0).alias("at"), F.lit("").alias("sh")).limit(0)
+        found = base.select("__sd_k", F.lit(0).alias("at"), F.lit("").alias("sh")).limit(0)
     places = write_table(found.join(vocabulary, "sh", "left_semi").distinct(), "shingle-places")
     rarity = places.groupBy("sh").agg(F.count("*").alias("df"))
     # the prefix of each window: its rarest shingle; a window with a shingle that no document has is dropped
@@ -80,29 +80,29 @@ def occurrences(docs: DataFrame, wins: DataFrame, key: str, text: str = "text",
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "sh")).alias("p"), F.count("*").alias("n_sh")
     )
     prefix = ranked.filter("p.df > 0").select("win", "n", "n_sh", F.col("p.offset").alias("offset"), F.col("p.sh").alias("sh"))
-    last = places.groupBy("_k").agg(F.max(F.col("at") + F.size(F.split("sh", " "))).alias("end"))
-    candidates = places.join(prefix, "sh").select("_k", "win", "n", "n_sh", (F.col("at") - F.col("offset")).alias("start"))
-    candidates = candidates.filter("start >= 0").join(last, "_k").filter("start + n <= end").drop("end")
+    last = places.groupBy("__sd_k").agg(F.max(F.col("at") + F.size(F.split("sh", " "))).alias("end"))
+    candidates = places.join(prefix, "sh").select("__sd_k", "win", "n", "n_sh", (F.col("at") - F.col("offset")).alias("start"))
+    candidates = candidates.filter("start >= 0").join(last, "__sd_k").filter("start + n <= end").drop("end")
     checks = candidates.join(need.select("win", "offset", "sh"), "win").withColumn("at", F.col("start") + F.col("offset"))
-    full = checks.join(places, ["_k", "at", "sh"]).groupBy("_k", "win", "n", "n_sh", "start").agg(F.count("*").alias("n_ok"))
-    return full.filter("n_ok = n_sh").select("_k", "start", "n", "win")
+    full = checks.join(places, ["__sd_k", "at", "sh"]).groupBy("__sd_k", "win", "n", "n_sh", "start").agg(F.count("*").alias("n_ok"))
+    return full.filter("n_ok = n_sh").select("__sd_k", "start", "n", "win")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Add n_words, n_hit, n_items, items_sha256 and contaminated to every row of ``docs``."""
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    keyed = docs.select(*own, F.md5(F.coalesce(text, F.lit(""))).alias("_k"))
+    keyed = docs.select(*own, F.md5(F.coalesce(text, F.lit(""))).alias("__sd_k"))
     wins = write_table(item_windows(items, item_id, text, window), "item-windows")
-    hits = write_table(occurrences(keyed, wins, "_k", text), "window-hits")
-    covered = hits.select("_k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at"))
-    n_hit = covered.distinct().groupBy("_k").agg(F.count("*").alias("n_hit"))
-    of_items = hits.select("_k", "win").distinct().join(wins.select("win", "item_id"), "win").select("_k", "item_id").distinct()
-    per_doc = of_items.groupBy("_k").agg(
+    hits = write_table(occurrences(keyed, wins, "__sd_k", text), "window-hits")
+    covered = hits.select("__sd_k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at"))
+    n_hit = covered.distinct().groupBy("__sd_k").agg(F.count("*").alias("n_hit"))
+    of_items = hits.select("__sd_k", "win").distinct().join(wins.select("win", "item_id"), "win").select("__sd_k", "item_id").distinct()
+    per_doc = of_items.groupBy("__sd_k").agg(
         F.count("item_id").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.col("item_id").cast("string")))), 256).alias("items_sha256"),
     )
-    found = n_hit.join(per_doc, "_k")
-    out = keyed.withColumn("n_words", F.size(plain_words(text)).cast("long")).join(found, "_k", "left").drop("_k")
+    found = n_hit.join(per_doc, "__sd_k")
+    out = keyed.withColumn("n_words", F.size(plain_words(text)).cast("long")).join(found, "__sd_k", "left").drop("__sd_k")
     nothing = F.sha2(F.lit(""), 256)
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", nothing)}).withColumn("contaminated", F.col("n_hit") > 0)
 

@@ -181,22 +181,22 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_en
     t = F.col(text)
     dirty = F.when(t.rlike(MAYBE), t.rlike(PATTERN)).otherwise(F.lit(False))
     clean = df.filter(~dirty).withColumn(count, F.lit(0).cast("long"))
-    held = df.filter(dirty).withColumn("_t", F.md5(text))
-    seen = held.groupBy("_t").agg(F.first(text).alias("text")).select("_t", "text", F.explode(F.array_distinct(entities(F.col("text")))).alias("value"))
+    held = df.filter(dirty).withColumn("__sd_t", F.md5(text))
+    seen = held.groupBy("__sd_t").agg(F.first(text).alias("text")).select("__sd_t", "text", F.explode(F.array_distinct(entities(F.col("text")))).alias("value"))
     seen = seen.withColumn("type", kind(F.col("value"))).filter((F.col("type") != "card") | (luhn_sum(F.regexp_replace("value", "[^0-9]", ""), 1) % 10 == 0))
     gender = F.when(F.col("type") == "name", genders(F.col("text"), F.col("value")))
-    seen = write_table(seen.select("_t", "type", "value", gender.alias("gender")), "pii-found")
+    seen = write_table(seen.select("__sd_t", "type", "value", gender.alias("gender")), "pii-found")
     spelt = mapping(seen, key)
-    pairs = seen.join(spelt, ["type", "value"]).groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
-    joined = held.join(pairs, "_t", "left")
+    pairs = seen.join(spelt, ["type", "value"]).groupBy("__sd_t").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__sd_map"))
+    joined = held.join(pairs, "__sd_t", "left")
     parts = F.split(t, PATTERN, -1)
     swap = lambda v, m: F.coalesce(F.try_element_at(m, v), v)
-    names = F.coalesce(F.col("_map"), F.create_map().cast("map<string,string>"))
+    names = F.coalesce(F.col("__sd_map"), F.create_map().cast("map<string,string>"))
 
     def rebuild(m: Column) -> Column:
         return F.array_join(F.zip_with(parts, entities(t), lambda s, e: F.concat(s, F.coalesce(swap(e, m), F.lit("")))), "")
 
     number = F.size(F.filter(entities(t), lambda e: F.array_contains(F.map_keys(names), e))).cast("long")
-    swapped = joined.withColumn("_n", number).withColumn("_out", let(names, rebuild))
-    changed = swapped.select(*(F.col("_out").alias(c) if c == text else F.col(c) for c in own), F.col("_n").alias(count))
+    swapped = joined.withColumn("__sd_n", number).withColumn("__sd_out", let(names, rebuild))
+    changed = swapped.select(*(F.col("__sd_out").alias(c) if c == text else F.col(c) for c in own), F.col("__sd_n").alias(count))
     return clean.unionByName(changed)

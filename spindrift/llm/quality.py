@@ -85,14 +85,14 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = let(words(F.col(text), SPACE_CLASS), lambda ws: F.struct(F.size(ws).alias("n"), repeat_words(ws).alias("repeats")))
     of_lines = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dups")))
-    out = df.withColumns({"_words": counts, "_lines": of_lines})
+    out = df.withColumns({"__sd_words": counts, "__sd_lines": of_lines})
     out = out.withColumns({
-        "n_words": F.col("_words.n").cast("long"),
+        "n_words": F.col("__sd_words.n").cast("long"),
         "word_chars": F.length(F.translate(t, " \t\n\u000b\f\r", "")).cast("long"),
         "n_symbols": without(SYMBOLS),
-        "n_lines": F.col("_lines.n").cast("long"),
-        "n_dup_lines": F.col("_lines.dups").cast("long"),
-        "n_repeat_words": F.col("_words.repeats"),
+        "n_lines": F.col("__sd_lines.n").cast("long"),
+        "n_dup_lines": F.col("__sd_lines.dups").cast("long"),
+        "n_repeat_words": F.col("__sd_words.repeats"),
         "n_marks": without("!?|{}\\"),
         "n_letters": F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long"),
         "n_capitals": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long"),
@@ -101,7 +101,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return out.withColumn("fail_bits", total.cast("int")).drop("_words", "_lines")
+    return out.withColumn("fail_bits", total.cast("int")).drop("__sd_words", "__sd_lines")
 
 
 def apply_policy(led: DataFrame, policy: str = "v1", out: str = "kept") -> DataFrame:

@@ -102,11 +102,11 @@ def classify(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
     a payload that very many pages share meets its representative in a join that adaptive execution can split."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     marked = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    ids = pages.select(F.col(page_id).alias("_id"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("_n"))
-    first = ids.filter(F.col("_n") >= LEAST).groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_same"))
-    out = marked.join(first.filter("_same > 1"), "payload_digest", "left")
-    other = (F.col("_same") > 1) & ~F.col(page_id).eqNullSafe(F.col("_first"))
-    return out.withColumns({"record_type": F.when(other, "revisit").otherwise("response"), "refers_to": F.when(other, F.col("_first"))}).drop("_first", "_same")
+    ids = pages.select(F.col(page_id).alias("__sd_id"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("__sd_n"))
+    first = ids.filter(F.col("__sd_n") >= LEAST).groupBy("payload_digest").agg(F.min("__sd_id").alias("__sd_first"), F.count("*").alias("__sd_same"))
+    out = marked.join(first.filter("__sd_same > 1"), "payload_digest", "left")
+    other = (F.col("__sd_same") > 1) & ~F.col(page_id).eqNullSafe(F.col("__sd_first"))
+    return out.withColumns({"record_type": F.when(other, "revisit").otherwise("response"), "refers_to": F.when(other, F.col("__sd_first"))}).drop("__sd_first", "__sd_same")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
