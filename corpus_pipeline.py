@@ -13,8 +13,8 @@ from spindrift.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from spindrift.llm.common import write_table
 from spindrift.llm.queries import table, tokenizer
 
-#: Score from which a document is rejected as toxic, and the key of the surrogates.
-TOXIC, KEY = 0.3, "production-key"
+#: Score from which a document is rejected as toxic, similarity of near-duplicates, and the key of the surrogates.
+TOXIC, SIMILAR, KEY = 0.3, 0.8, "production-key"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked fingerprints the document with the smallest doc_id.
+    """Keep of each group of documents about ``SIMILAR`` alike in five-word shingles the one with the smallest doc_id.
 
     Of rows with equal doc_id and text one stays; rows that share only their doc_id stay or go together. Documents without a doc_id can't be named as the one
     that stays; they are kept unless their group has a document with one.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.similar_documents(docs, SIMILAR, 5)
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__sd_n"))
     stays = write_table(stays, "simhash-kept")
     once = docs.join(stays.filter("__sd_n = 1").select("doc_id"), "doc_id", "left_semi")

@@ -32,30 +32,50 @@ from .common import partitions, small_batches, text_or_empty, write_table
 SHARD, WALK = 8192, 2_000_000
 #: Children of a node in the spanning trees that tasks return.
 DEGREE = 8
+#: 64-bit words of wide fingerprints, and the share of pairs just at the similarity that block keys may miss.
+WIDE, MISS = 4, 0.03
 
 
-def fingerprint_of(text: str, k: int = 4) -> int:
-    """Unsigned SimHash of the k-word shingles of one text (XXH64, seed 42)."""
+def shingle_hashes(text: str, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of every k-word shingle of a text, repeats included; fewer words make one shingle."""
     import xxhash
 
     ws = text.encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(ws)
     if len(ws) <= k:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
-        ends = np.cumsum(sizes)
-        begin, stop = (ends - sizes)[: len(ws) - k + 1].tolist(), (ends - 1)[k - 1 :].tolist()
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(begin, stop, strict=True)], np.uint64)
+        return np.array([digest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
+    ends = np.cumsum(sizes)
+    begin, stop = (ends - sizes)[: len(ws) - k + 1].tolist(), (ends - 1)[k - 1 :].tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(begin, stop, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str, k: int = 4) -> int:
+    """Unsigned SimHash of the k-word shingles of one text."""
+    return majority(shingle_hashes(text, k))
+
+
+def wide_fingerprint_of(text: str, k: int) -> list[int]:
+    """WIDE independent SimHashes: shingle hashes mixed again with a different odd factor for each."""
+    hashes = np.unique(shingle_hashes(text, k))
+    out = []
+    for i in range(WIDE):
+        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & 0xFFFFFFFFFFFFFFFF | 1)
+        out.append(majority((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)))
+    return out
+
+
 def fingerprints(df: DataFrame, text: str = "text", k: int = 4, out: str = "fp") -> DataFrame:
     """Add ``out``: the fingerprint as a signed long."""
     small_batches(df.sparkSession)
@@ -123,19 +143,26 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-def local_links(fps: np.ndarray, group: np.ndarray, part: np.ndarray, side: tuple[np.ndarray, np.ndarray], radius: int) -> pd.DataFrame:
-    """Spanning-tree edges of the components inside each group. ``side``: whether a row stands in the tree, and whether it queries."""
+def local_links(fps: np.ndarray, group: np.ndarray, side: tuple[np.ndarray, np.ndarray], radius: int, wide: np.ndarray | None = None, most: int = 0, names: np.ndarray | None = None) -> pd.DataFrame:
+    """Spanning-tree edges of the components inside each group. ``side``: whether a row stands in the tree, and
+    whether it queries. ``wide``: fingerprints of several words, which must differ in ``most`` bits at most.
+    ``names``: what edges call the rows, else their fingerprints."""
+    names = fps.view(np.int64) if names is None else names
     in_tree, asks = np.flatnonzero(side[0]), np.flatnonzero(side[1])
     forest = BKForest(fps[in_tree], group[in_tree])
-    names = np.unique(group[in_tree])
-    where = np.searchsorted(names, group[asks])
-    fine = (where < len(names)) & (names[np.minimum(where, max(len(names) - 1, 0))] == group[asks]) if len(names) else np.zeros(len(asks), bool)
+    known = np.unique(group[in_tree])
+    where = np.searchsorted(known, group[asks])
+    fine = (where < len(known)) & (known[np.minimum(where, max(len(known) - 1, 0))] == group[asks]) if len(known) else np.zeros(len(asks), bool)
     asks, where = asks[fine], where[fine]
     label = np.arange(len(fps))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for q, node in forest.within(fps[asks], where, radius):
-        held.append((asks[q], in_tree[node]))
+        q, node = asks[q], in_tree[node]
+        if wide is not None:
+            near = np.bitwise_count(wide[q] ^ wide[node]).sum(1) <= most
+            q, node = q[near], node[near]
+        held.append((q, node))
         size += len(q)
         if size > WALK:
             merge_labels(label, *map(np.concatenate, zip(*held, strict=True)))
@@ -148,7 +175,7 @@ def local_links(fps: np.ndarray, group: np.ndarray, part: np.ndarray, side: tupl
     nth = np.arange(len(order)) - begin
     child = nth > 0
     up = begin + (nth - 1) // DEGREE
-    return pd.DataFrame({"a": fps[order[child]].view(np.int64), "b": fps[order[up[child]]].view(np.int64)})
+    return pd.DataFrame({"a": names[order[child]], "b": names[order[up[child]]]})
 
 
 def block_count(n: int, radius: int) -> int:
@@ -170,26 +197,34 @@ def block_keys(fp: str, radius: int, blocks: int):
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) that span the components of distinct fingerprints ``fp`` within ``radius`` bits."""
-    spark = fps.sparkSession
     n = fps.count()
     filed = fps.select("fp", F.explode(block_keys("fp", radius, block_count(n, radius))).alias("k")).select("fp", "k.choice", "k.key")
     sizes = filed.groupBy("choice", "key").agg(F.count("*").alias("m")).filter("m > 1")
     sizes = write_table(sizes.withColumn("parts", F.ceil(F.col("m") / SHARD).cast("int")), "simhash-keys")
-    small = filed.join(sizes, ["choice", "key"])
-    # a hot key's fingerprints go to every tile (i, j), i <= j, that their part belongs to; others have one tile
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tiled = small.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("choice", "key", "fp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def solve(rows: pd.DataFrame, group: np.ndarray, side: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        return local_links(rows.fp.values.view(np.uint64), group, side, radius)
+
+    return in_shards(filed.join(sizes, ["choice", "key"]), ["fp"], solve)
+
+
+def in_shards(filed: DataFrame, columns: list[str], solve) -> DataFrame:
+    """Edges that ``solve`` finds among the rows of each (choice, key); ``parts`` tells into how many parts it is cut.
+    A hot key's rows go to every tile (i, j), i <= j, that their part belongs to; other keys have one tile."""
+    spark = filed.sparkSession
+    part = F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")
+    tiled = filed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select("choice", "key", *columns, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     dealt = tiled.repartition(partitions(spark), "choice", "key", "i", "j").sortWithinPartitions("choice", "key", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            new = (rows[["choice", "key", "i", "j"]].diff().fillna(1) != 0).any(axis=1)
-            # the difference of two longs may round to 0 as a float: compare keys themselves too
-            new |= rows.key.values != np.roll(rows.key.values, 1)
-            group = np.cumsum(new.values)
+        def edges(rows: pd.DataFrame) -> pd.DataFrame:
+            new = np.zeros(len(rows), bool)
+            for c in ("choice", "key", "i", "j"):
+                v = rows[c].values
+                new[1:] |= v[1:] != v[:-1]
             p, i, j = rows.part.values, rows.i.values, rows.j.values
-            return local_links(rows.fp.values.view(np.uint64), group, p, (p == i, p == j), radius)
+            return solve(rows, np.cumsum(new), (p == i, p == j))
 
         kept: list[pd.DataFrame] = []
         for b in batches:
@@ -199,11 +234,11 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
             open_ = ((b.choice == last.choice) & (b.key == last.key) & (b.i == last.i) & (b.j == last.j)).values
             done = b[~open_]
             if len(done):
-                yield solve(pd.concat([*kept, done], ignore_index=True))
+                yield edges(pd.concat([*kept, done], ignore_index=True))
                 kept = []
             kept.append(b[open_])
         if kept:
-            yield solve(pd.concat(kept, ignore_index=True))
+            yield edges(pd.concat(kept, ignore_index=True))
 
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
@@ -227,6 +262,64 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise ValueError("components did not settle")
 
 
+def bit_share(similarity: float) -> float:
+    """Expected share of differing SimHash bits at a Jaccard similarity of equally large shingle sets."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between ``node`` s of distinct wide fingerprints ``fps`` whose texts are about ``similarity`` alike.
+
+    Fixed-radius keys that miss nothing would be far too many at this distance. Instead each fingerprint is
+    filed under as many random choices of its bits as leave a pair at the similarity unmatched with a chance
+    of MISS, with more bits a choice as the input grows. Shards are searched by BK-trees over the first word,
+    at three standard deviations beyond the expected distance; all words then decide at one deviation.
+    """
+    n, p = fps.count(), bit_share(similarity)
+    bits = max(12, int(np.ceil(np.log2(max(n, 2)))) - 2)
+    choices = int(np.ceil(np.log(MISS) / np.log1p(-((1 - p) ** bits))))
+    radius, most = (int(np.ceil(w * p + z * np.sqrt(w * p * (1 - p)))) for w, z in ((64, 3.0), (64 * WIDE, 1.0)))
+    rng, names = np.random.default_rng(8), [f"w{i}" for i in range(WIDE)]
+    keys = []
+    for c in range(choices):
+        masks = np.zeros(64 * WIDE, np.uint8)
+        masks[rng.choice(64 * WIDE, bits, replace=False)] = 1
+        words = np.packbits(masks, bitorder="little").view("<i8").tolist()
+        keys.append(F.xxhash64(F.lit(c), *(F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(names, words, strict=True))))
+    filed = fps.select("node", *names, F.explode(F.array(*keys)).alias("key")).withColumn("choice", F.lit(0))
+    hot = filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHARD)
+    hot = write_table(hot.select("key", F.ceil(F.col("m") / SHARD).cast("int").alias("parts")), "simhash-keys")
+    if hot.limit(1).count():
+        filed = filed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        filed = filed.withColumn("parts", F.lit(1))
+
+    def solve(rows: pd.DataFrame, group: np.ndarray, side: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        wide = rows[names].to_numpy(np.int64).view(np.uint64)
+        return local_links(np.ascontiguousarray(wide[:, 0]), group, side, radius, wide, most, rows.node.to_numpy(np.int64))
+
+    return in_shards(filed, ["node", *names], solve)
+
+
+def similar_documents(df: DataFrame, similarity: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id and component_id, linking texts whose k-word shingle sets are about
+    ``similarity`` alike or more. Equal texts are always linked, texts without words with each other."""
+    small_batches(df.sparkSession)
+    names = [f"w{i}" for i in range(WIDE)]
+
+    @F.pandas_udf(", ".join(f"{w} long" for w in names))
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([wide_fingerprint_of(t, k) for t in batch], np.uint64).view(np.int64).reshape(-1, WIDE), columns=names)
+
+    marked = df.select(F.col(doc_id).alias("doc_id"), run(text_or_empty(text)).alias("w")).select("doc_id", "w.*")
+    marked = write_table(marked.withColumn("node", F.xxhash64(*names)), "simhash-wide")
+    per = marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
+    label = components(similar_links(per.drop("least"), similarity))
+    named = per.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id."""
     spark = df.sparkSession

@@ -211,3 +211,29 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     out = p.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in out} >= {5000, 5002, 5004} and not {x.doc_id for x in out} & {5001, 5003}
     assert all(x.n_tokens == len(x.token_ids) for x in out)
+
+
+def test_similar_documents_follow_jaccard(spark, documents, clashing, empty):
+    r = random.Random(8)
+    rows, group = [], {}
+    for g in range(60):
+        base = prose(r, 200).split(" ")
+        for c in range(3):
+            ws = list(base)
+            for _ in range(2 * c):
+                ws[r.randrange(len(ws))] = prose(r, 1) + "q"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(ws)))
+
+    def jaccard(a, b):
+        x, y = ({tuple(t.split(" ")[i : i + 5]) for i in range(len(t.split(" ")) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if group[i] == group[j] and jaccard(rows[i][1], rows[j][1]) >= 0.82]
+    assert len(alike) > 50 and sum(got[i] == got[j] for i, j in alike) / len(alike) > 0.9
+    assert all(group[i] == group[c] for i, c in got.items())
+    for df in (documents, clashing):
+        out = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+        assert len(out) == df.select("doc_id").distinct().count() and out[4] == out[6] == out[7] and out[9] == out[10] == out[11]
+    assert simhash.similar_documents(empty).count() == 0
