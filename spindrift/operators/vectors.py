@@ -100,3 +100,25 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("s_0") * F.col("s_1") / two(F.col("all"))
     top = (F.col("s_0") + F.col("s_1")) / 2
     return x.select(F.when(top != expected, (F.col("s") - expected) / (top - expected)).otherwise(1.0).alias("ari"))
+
+
+def mean_distances(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per query (id, vec): the number of candidates and the sum of its distances to them."""
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        vs = _matrix(c.vec)
+        sums = [float(np.sqrt(((vs - np.asarray(v, np.float64)) ** 2).sum(1)).sum()) for v in q.vec]
+        return pd.DataFrame({"id": q.id, "n": len(vs), "total": sums})
+
+    parts = block_pairs(queries.select("id", "vec"), candidates.select("id", "vec"), "id", kernel, "id long, n long, total double")
+    return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def energy_distance(a: DataFrame, b: DataFrame, sample_a: DataFrame, sample_b: DataFrame) -> DataFrame:
+    """2 E|a-b| - E|a-a'| - E|b-b'|, expectations over the stated query rows of each side against all rows."""
+
+    def mean(q: DataFrame, c: DataFrame, name: str) -> DataFrame:
+        return mean_distances(q, c).agg((F.sum("total") / F.sum("n")).alias(name))
+
+    one = mean(sample_a, b, "ab").crossJoin(mean(sample_a, a, "aa")).crossJoin(mean(sample_b, b, "bb"))  # one row each
+    return one.select((2 * F.col("ab") - F.col("aa") - F.col("bb")).alias("energy"))

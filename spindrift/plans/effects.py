@@ -136,3 +136,8 @@ def effects_cohens_d(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CELLS} SELECT measure, round(CASE WHEN stddev_pop(value) * stddev_pop(cognate) > 1e-12 THEN covar_pop(value, cognate) / (stddev_pop(value) * stddev_pop(cognate)) END, 6) + 0.0 AS correlation FROM cells GROUP BY measure")
 def effects_cognate_correlation(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).groupBy("measure").agg(pearson("value", "cognate").alias("correlation"))
+
+
+@query(f"WITH {POOLED} SELECT grp, measure, {r('z', 'p')} FROM pool")
+def effects_two_sided_p(spark: SparkSession, d: str) -> DataFrame:
+    return effects.pooled_pairs(effects_of(spark, d)).select("grp", "measure", "z", "p")

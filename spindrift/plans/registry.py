@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import effects, matrices, places, runs, vectors  # noqa: F401  registers their queries
+    from . import effects, matrices, places, runs, streams, vectors  # noqa: F401  registers their queries
 
 
 def queries() -> dict[str, Query]:
