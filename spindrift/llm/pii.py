@@ -11,7 +11,8 @@ Distinctness: surrogates of all distinct entities are compared in one aggregatio
 one surrogate the smallest keeps it, the others, and any surrogate that is itself an entity of the input,
 are derived anew with the next round number until no collision is left.
 
-Only entities and the texts that hold them are shuffled; clean texts pass through their scan unchanged.
+Only entities and the texts that hold them are shuffled, these by a number of their row, so that copies
+of one text don't meet in one task; clean texts pass through their scan unchanged.
 Nulls stay null, empty texts empty; repeated rows are treated alike. Texts are never shortened.
 Names are found after a title or among common given names only.
 """
@@ -60,7 +61,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes: one look at a character's class decides nearly everywhere.
-MAYBE = rf"[0-9@=:]|(?=[A-Z\u0370-\u044F])(?:(?:{_TITLE})\.?\x20\p{{Lu}}|(?:{_GIVEN})\x20\p{{Lu}})"
+MAYBE = rf"[0-9@=:]|(?=[A-Z\u0370-\u044F])(?:A[KS]IA|(?:{_TITLE})\.?\x20\p{{Lu}}|(?:{_GIVEN})\x20\p{{Lu}})"
 #: Rounds of collision checks; each leaves a vanishing share of the one before.
 ROUNDS = 20
 
@@ -181,22 +182,21 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_en
     t = F.col(text)
     dirty = F.when(t.rlike(MAYBE), t.rlike(PATTERN)).otherwise(F.lit(False))
     clean = df.filter(~dirty).withColumn(count, F.lit(0).cast("long"))
-    held = df.filter(dirty).withColumn("__sd_t", F.md5(text))
-    seen = held.groupBy("__sd_t").agg(F.first(text).alias("text")).select("__sd_t", "text", F.explode(F.array_distinct(entities(F.col("text")))).alias("value"))
-    seen = seen.withColumn("type", kind(F.col("value"))).filter((F.col("type") != "card") | (luhn_sum(F.regexp_replace("value", "[^0-9]", ""), 1) % 10 == 0))
+    # written once: the row number is fixed from here on, and the expensive pattern has been run
+    held = df.filter(dirty).withColumn("__sd_row", F.monotonically_increasing_id()).withColumn("__sd_found", entities(t))
+    held = write_table(held, "pii-texts")
+    seen = held.select("__sd_row", t.alias("text"), F.explode(F.array_distinct("__sd_found")).alias("value")).withColumn("type", kind(F.col("value")))
+    seen = seen.filter((F.col("type") != "card") | (luhn_sum(F.regexp_replace("value", "[^0-9]", ""), 1) % 10 == 0))
     gender = F.when(F.col("type") == "name", genders(F.col("text"), F.col("value")))
-    seen = write_table(seen.select("__sd_t", "type", "value", gender.alias("gender")), "pii-found")
+    seen = write_table(seen.select("__sd_row", "type", "value", gender.alias("gender")), "pii-found")
     spelt = mapping(seen, key)
-    pairs = seen.join(spelt, ["type", "value"]).groupBy("__sd_t").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__sd_map"))
-    joined = held.join(pairs, "__sd_t", "left")
-    parts = F.split(t, PATTERN, -1)
+    pairs = seen.join(spelt, ["type", "value"]).groupBy("__sd_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__sd_map"))
+    joined = held.join(pairs, "__sd_row", "left").withColumn("__sd_map", F.coalesce("__sd_map", F.create_map().cast("map<string,string>")))
     swap = lambda v, m: F.coalesce(F.try_element_at(m, v), v)
-    names = F.coalesce(F.col("__sd_map"), F.create_map().cast("map<string,string>"))
 
-    def rebuild(m: Column) -> Column:
-        return F.array_join(F.zip_with(parts, entities(t), lambda s, e: F.concat(s, F.coalesce(swap(e, m), F.lit("")))), "")
+    def rebuild(parts: Column) -> Column:
+        return F.array_join(F.zip_with(parts, "__sd_found", lambda s, e: F.concat(s, F.coalesce(swap(e, F.col("__sd_map")), F.lit("")))), "")
 
-    number = F.size(F.filter(entities(t), lambda e: F.array_contains(F.map_keys(names), e))).cast("long")
-    swapped = joined.withColumn("__sd_n", number).withColumn("__sd_out", let(names, rebuild))
-    changed = swapped.select(*(F.col("__sd_out").alias(c) if c == text else F.col(c) for c in own), F.col("__sd_n").alias(count))
+    number = let(F.map_keys("__sd_map"), lambda known: F.size(F.filter("__sd_found", lambda e: F.array_contains(known, e))).cast("long"))
+    changed = joined.select(*(let(F.split(t, PATTERN, -1), rebuild).alias(c) if c == text else F.col(c) for c in own), number.alias(count))
     return clean.unionByName(changed)
