@@ -18,6 +18,7 @@ share one fingerprint and so one component. The component is the smallest doc_id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,8 +33,10 @@ from .common import partitions, small_batches, text_or_empty, write_table
 SHARD, WALK = 8192, 2_000_000
 #: Children of a node in the spanning trees that tasks return.
 DEGREE = 8
-#: 64-bit words of wide fingerprints, and the share of pairs just at the similarity that block keys may miss.
+#: 64-bit words of wide fingerprints, and the share of pairs just at the similarity that keys and distance cuts together may miss.
 WIDE, MISS = 4, 0.03
+#: Shingles of one part of a cluster in the exact check.
+SHINGLES = 4_000_000
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -66,9 +69,8 @@ def fingerprint_of(text: str, k: int = 4) -> int:
     return majority(shingle_hashes(text, k))
 
 
-def wide_fingerprint_of(text: str, k: int) -> list[int]:
-    """WIDE independent SimHashes: shingle hashes mixed again with a different odd factor for each."""
-    hashes = np.unique(shingle_hashes(text, k))
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE independent SimHashes of distinct shingle hashes, mixed again with a different odd factor for each."""
     out = []
     for i in range(WIDE):
         x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & 0xFFFFFFFFFFFFFFFF | 1)
@@ -267,18 +269,37 @@ def bit_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def binomial(n: int, p: float) -> np.ndarray:
+    """Chances of 0 to n successes."""
+    return np.array([math.comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1)])
+
+
+def cuts(similarity: float) -> tuple[int, int]:
+    """Bits in which the first word and all words may differ: three deviations beyond the expected distance."""
+    p = bit_share(similarity)
+    return tuple(int(np.ceil(w * p + 3 * np.sqrt(w * p * (1 - p)))) for w in (64, 64 * WIDE))
+
+
+def missed(similarity: float, bits: int, choices: int) -> float:
+    """Chance that a pair just at the similarity is beyond a cut or agrees on none of the choices of ``bits`` bits."""
+    (radius, most), p, w = cuts(similarity), bit_share(similarity), 64 * WIDE
+    agree = np.array([math.comb(w - d, bits) / math.comb(w, bits) for d in range(most + 1)])
+    all_ = binomial(w, p)
+    return float(binomial(64, p)[radius + 1 :].sum() + all_[most + 1 :].sum() + (all_[: most + 1] * (1 - agree) ** choices).sum())
+
+
 def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between ``node`` s of distinct wide fingerprints ``fps`` whose texts are about ``similarity`` alike.
+    """Candidate edges (a, b) between ``node`` s of distinct wide fingerprints ``fps``; ``verified_links`` decides.
 
     Fixed-radius keys that miss nothing would be far too many at this distance. Instead each fingerprint is
-    filed under as many random choices of its bits as leave a pair at the similarity unmatched with a chance
-    of MISS, with more bits a choice as the input grows. Shards are searched by BK-trees over the first word,
-    at three standard deviations beyond the expected distance; all words then decide at one deviation.
+    filed under as many random choices of its bits as keep the chance of missing a pair at the similarity,
+    over all distances it may have, within MISS, with more bits a choice as the input grows. Shards are
+    searched by BK-trees over the first word; both it and all words are cut at three standard deviations.
     """
-    n, p = fps.count(), bit_share(similarity)
+    n = fps.count()
     bits = max(12, int(np.ceil(np.log2(max(n, 2)))) - 2)
-    choices = int(np.ceil(np.log(MISS) / np.log1p(-((1 - p) ** bits))))
-    radius, most = (int(np.ceil(w * p + z * np.sqrt(w * p * (1 - p)))) for w, z in ((64, 3.0), (64 * WIDE, 1.0)))
+    choices = next(c for c in range(1, 1 << 20) if missed(similarity, bits, c) <= MISS)
+    radius, most = cuts(similarity)
     rng, names = np.random.default_rng(8), [f"w{i}" for i in range(WIDE)]
     keys = []
     for c in range(choices):
@@ -301,23 +322,88 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
     return in_shards(filed, ["node", *names], solve)
 
 
-def similar_documents(df: DataFrame, similarity: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id and component_id, linking texts whose k-word shingle sets are about
-    ``similarity`` alike or more. Equal texts are always linked, texts without words with each other."""
+def exact_links(sets: list[np.ndarray], wide: np.ndarray, side: tuple[np.ndarray, np.ndarray], similarity: float, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows, one of each side, that span the components of Jaccard ``similarity`` of sorted sets. Each row that
+    is reached is compared with those not reached yet whose fingerprint is at most ``most`` bits away."""
+    sizes = np.array([len(x) for x in sets])
+    left, out = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], todo = False, [seed]
+        while todo:
+            at = todo.pop()
+            other = (side[1] if side[0][at] else False) | (side[0] if side[1][at] else False)
+            near = np.flatnonzero(left & other & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-9))
+            near = near[np.bitwise_count(wide[near] ^ wide[at]).sum(1) <= most]
+            for begin in range(0, len(near), 1024):
+                part, own = near[begin : begin + 1024], sets[at]
+                flat = np.concatenate([sets[i] for i in part])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.bincount(np.repeat(np.arange(len(part)), sizes[part])[hit], minlength=len(part))
+                alike = part[common * (1 + similarity) >= similarity * (sizes[part] + sizes[at]) - 1e-9]
+                left[alike] = False
+                todo += alike.tolist()
+                out += [(at, i) for i in alike.tolist()]
+    return out
+
+
+def verified_links(clusters: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that span the components of texts whose shingle sets have Jaccard ``similarity`` or more, within
+    candidate clusters (label, node, hashes, w0, ...) of distinct sets. Large clusters are cut into tiles."""
+    names, most = [f"w{i}" for i in range(WIDE)], cuts(similarity)[1]
+    sizes = clusters.groupBy("label").agg(F.ceil(F.sum(F.size("hashes")) / SHINGLES).cast("int").alias("parts"))
+    sizes = write_table(sizes.filter("parts > 1"), "simhash-clusters")
+    filed = clusters.select(F.lit(0).alias("choice"), F.col("label").alias("key"), "node", "hashes", *names)
+    if sizes.limit(1).count():
+        filed = filed.join(sizes.withColumnRenamed("label", "key"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        filed = filed.withColumn("parts", F.lit(1))
+
+    def solve(rows: pd.DataFrame, group: np.ndarray, side: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        wide, node, out = rows[names].to_numpy(np.int64).view(np.uint64), rows.node.to_numpy(np.int64), []
+        ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            sets = [np.asarray(x, np.int64) for x in rows.hashes.values[a:b]]
+            out += [(node[a + i], node[a + j]) for i, j in exact_links(sets, wide[a:b], (side[0][a:b], side[1][a:b]), similarity, most)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return in_shards(filed, ["node", "hashes", *names], solve)
+
+
+def similar_documents(df: DataFrame, similarity: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text", row: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``df``: doc_id and component_id, linking texts whose k-word shingle sets have a Jaccard
+    similarity of ``similarity`` or more. Equal sets are always linked, texts without words with each other.
+    ``row``: a unique key that ``df`` was written with, else one is written; it and the columns ``carry`` are kept."""
     small_batches(df.sparkSession)
     names = [f"w{i}" for i in range(WIDE)]
+    if row is None:
+        df = write_table(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry, F.monotonically_increasing_id().alias("__sd_row")), "simhash-rows")
+        doc_id, text = "doc_id", "text"
+    key, kept = row or "__sd_row", ["doc_id", *([row] if row else []), *carry]
 
-    @F.pandas_udf(", ".join(f"{w} long" for w in names))
+    @F.pandas_udf(", ".join(f"{w} long" for w in ["node", *names]))
     def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([wide_fingerprint_of(t, k) for t in batch], np.uint64).view(np.int64).reshape(-1, WIDE), columns=names)
-
-    marked = df.select(F.col(doc_id).alias("doc_id"), run(text_or_empty(text)).alias("w")).select("doc_id", "w.*")
-    marked = write_table(marked.withColumn("node", F.xxhash64(*names)), "simhash-wide")
-    per = marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
-    label = components(similar_links(per.drop("least"), similarity))
+        import xxhash
+
+        sets = (np.unique(shingle_hashes(t, k)) for t in batch)
+        return pd.DataFrame(np.array([[xxhash.xxh64_intdigest(x.tobytes(), 7), *wide_fingerprint(x)] for x in sets], np.uint64).view(np.int64).reshape(-1, WIDE + 1), columns=["node", *names])
+
+    @F.pandas_udf("array<long>")
+    def hashes(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, k).view(np.int64)) for t in batch], dtype=object)
+
+    marked = df.select(F.col(doc_id).alias("doc_id"), F.col(key).alias(key), *carry, run(text_or_empty(text)).alias("w"))
+    marked = write_table(marked.select("doc_id", key, *carry, "w.*"), "simhash-wide")
+    per = write_table(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.min(key).alias("__sd_first")), "simhash-sets")
+    # one text of each set in a cluster of several is read again, by the number of its row
+    near = per.join(components(similar_links(per.drop("least", "__sd_first"), similarity)), "node")
+    texts = df.select(F.col(key).alias("__sd_first"), F.col(text).alias("__sd_text")).join(near, "__sd_first")
+    clusters = write_table(texts.select("label", "node", *names, hashes(text_or_empty("__sd_text")).alias("hashes")), "simhash-clusters")
+    label = components(verified_links(clusters, similarity))
     named = per.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select(*kept, "node").join(named.join(least, "label").select("node", "component_id"), "node").select(*kept, "component_id")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:

@@ -237,3 +237,39 @@ def test_similar_documents_follow_jaccard(spark, documents, clashing, empty):
         out = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
         assert len(out) == df.select("doc_id").distinct().count() and out[4] == out[6] == out[7] and out[9] == out[10] == out[11]
     assert simhash.similar_documents(empty).count() == 0
+
+
+def test_similar_documents_are_verified_exactly(spark):
+    """Pairs of word sets with chosen Jaccard similarities: those below 0.8 stay apart, nearly all at 0.8 are linked."""
+    rows, want = [], []
+    for i in range(400):
+        swapped = (11, 12, 16, 20)[i % 4]  # of 100: Jaccard 0.802, 0.786, 0.724, 0.667
+        ws = [f"w{i}x{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[swapped:] + [f"v{i}x{j}" for j in range(swapped)]))]
+        want.append(swapped == 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, 0.8, 1).collect()}
+    linked = [got[2 * i + 1] == 2 * i for i in range(400)]
+    assert not any(x for x, w in zip(linked, want) if not w)
+    assert sum(x for x, w in zip(linked, want) if w) >= 93
+
+
+@pytest.mark.parametrize("size", [4_000_000, 300])
+def test_verified_links_in_tiles_lose_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(simhash, "SHINGLES", size)
+    r = random.Random(4)
+    rows, sets = [], {}
+    for i in range(60):
+        base = [f"a{i % 3}x{j}" for j in range(60)]
+        for _ in range(r.randrange(9)):
+            base[r.randrange(60)] = f"b{i}x{r.randrange(99)}"
+        sets[i] = set(base)
+        rows.append((i, " ".join(base)))
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 1).collect()}
+    least = dict.fromkeys(sets)
+    for i in sets:
+        todo = [i] if least[i] is None else []
+        while todo:
+            least[at := todo.pop()] = i
+            todo += [j for j in sets if least[j] is None and len(sets[at] & sets[j]) >= 0.8 * len(sets[at] | sets[j])]
+    assert got == least
