@@ -26,15 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of documents about ``SIMILAR`` alike in five-word shingles the one with the smallest doc_id.
 
-    Of rows with equal doc_id and text one stays; rows that share only their doc_id stay or go together. Documents without a doc_id can't be named as the one
-    that stays; they are kept unless their group has a document with one.
+    Of rows with equal doc_id and text one stays; rows of a group that share only their doc_id stay or go together. Documents without a doc_id can't be named as
+    the one that stays; they are kept unless their group has a document with one. Rows are chosen by a written number, never by doc_id.
     """
-    groups = simhash.similar_documents(docs, SIMILAR, 5)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__sd_n"))
-    stays = write_table(stays, "simhash-kept")
-    once = docs.join(stays.filter("__sd_n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(stays.filter("__sd_n > 1").select(F.col("doc_id").alias("__sd_id")), F.col("doc_id").eqNullSafe(F.col("__sd_id")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    keyed = write_table(docs.withColumns({"__sd_row": F.monotonically_increasing_id(), "__sd_md5": F.md5("text")}), "simhash-keyed")
+    groups = simhash.similar_documents(keyed, SIMILAR, 5, row="__sd_row", carry=("__sd_md5",))
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "__sd_md5").agg(F.min("__sd_row").alias("__sd_row"))
+    stays = write_table(stays.select("__sd_row"), "simhash-kept")
+    return keyed.join(stays, "__sd_row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

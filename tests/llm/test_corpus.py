@@ -273,3 +273,18 @@ def test_verified_links_in_tiles_lose_nothing(spark, monkeypatch, size):
             least[at := todo.pop()] = i
             todo += [j for j in sets if least[j] is None and len(sets[at] & sets[j]) >= 0.8 * len(sets[at] | sets[j])]
     assert got == least
+
+
+def test_near_duplicate_stage_with_null_ids(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(11)
+    own, other, known = (prose(r, 80).split(" ") for _ in range(3))
+    text = {"own": " ".join(own), "other": " ".join(other), "known": " ".join(known), "near": " ".join([*known[:-1], "changed"]), "free": prose(r, 80)}
+
+    def left(*rows):
+        got = p.drop_near_duplicates(spark, spark.createDataFrame([(i, text[t], "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "")
+        return sorted(((x.doc_id, next(k for k, v in text.items() if v == x.text)) for x in got.collect()), key=repr)
+
+    assert left((5, "known"), (None, "own")) == [(5, "known"), (None, "own")]
+    assert left((5, "known"), (None, "own"), (None, "other"), (None, "near"), (None, "own"), (7, "free"), (7, "free")) == [(5, "known"), (7, "free"), (None, "other"), (None, "own")]
