@@ -132,7 +132,8 @@ def surrogate(t: Column, value: Column, canon: Column, gender: Column, nonce: Co
         out = F.lit("")
         for s, sy in SYLLABLES.items():
             given = F.when(gender == "f", _pick(GIVEN["f", s], code(h, F.lit(0)))).when(gender == "m", _pick(GIVEN["m", s], code(h, F.lit(0)))).otherwise(_pick(GIVEN["f", s] + GIVEN["m", s], code(h, F.lit(0))))
-            last = F.initcap(F.concat(*(_pick(sy, code(h, F.lit(i))) for i in (1, 2, 3, 4))))
+            # a syllable more with each round, so that no number of distinct names exhausts the surnames
+            last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), nonce + 4), lambda i: _pick(sy, code(h, i))), ""))
             out = F.when(script == s, F.when(value.contains(" "), F.concat(given, F.lit(" "), last)).otherwise(last)).otherwise(out)
         return out
 

@@ -288,3 +288,13 @@ def test_near_duplicate_stage_with_null_ids(spark):
 
     assert left((5, "known"), (None, "own")) == [(5, "known"), (None, "own")]
     assert left((5, "known"), (None, "own"), (None, "other"), (None, "near"), (None, "own"), (7, "free"), (7, "free")) == [(5, "known"), (7, "free"), (None, "other"), (None, "own")]
+
+
+def test_more_names_than_surnames_of_four_syllables(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {s: x[:2] for s, x in pii.SYLLABLES.items()})
+    letters = "abcdefgh"
+    names = [f"Q{a}{b}{c}" for a in letters for b in letters for c in letters[:4]]
+    df = spark.createDataFrame([(i, f"Yesterday Mr {n} left.") for i, n in enumerate(names)], "doc_id long, text string")
+    got = [x.text for x in pii.pseudonymise(df, "k").collect()]
+    assert len(set(got)) == len(names) == 256 and not any(n in t for n in names for t in got)
+    assert all(re.fullmatch(r"Yesterday Mr [A-Z][a-z]+ left\.", t) for t in got)
