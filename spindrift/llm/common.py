@@ -16,6 +16,10 @@ NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bitmaps of 4 KB that are broadcast at most: 64 MB, for up to half a thousand million rows.
+BITMAPS = 16_384
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -36,6 +40,31 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table from ``write_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pick_rows(df: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number ``row`` is in ``chosen``, a written table, without shuffling ``df``.
+
+    The chosen numbers are packed into bitmaps, each of 32,768 numbers in 4 KB. Up to ``BITMAPS`` of them are
+    broadcast (one bit a row of ``df``, where it was numbered); beyond, rows meet in a shuffled join.
+    """
+    bits = chosen.groupBy(F.bitmap_bucket_number(row).alias("__sd_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("__sd_bits"))
+    bits = write_table(bits, "bitmaps")
+    if bits.count() > BITMAPS:
+        return df.join(chosen.select(row).distinct(), row, "left_semi")
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.expr(f"substring(__sd_bits, CAST(bitmap_bit_position({row}) DIV 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    joined = df.withColumn("__sd_bucket", F.bitmap_bucket_number(row)).join(F.broadcast(bits), "__sd_bucket")
+    return joined.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(df.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, unless the user has lowered the bound already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -27,16 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, text_or_empty, write_table
+from .common import drop_table, partitions, pick_rows, small_batches, text_or_empty, write_table
 
 #: Fingerprints of one key in one tree at most; pairs of query and node walked at once.
 SHARD, WALK = 8192, 2_000_000
 #: Children of a node in the spanning trees that tasks return.
 DEGREE = 8
-#: 64-bit words of wide fingerprints, and the share of pairs just at the similarity that keys and distance cuts together may miss.
-WIDE, MISS = 4, 0.03
+#: 64-bit words of wide fingerprints; minima of a band; share of pairs just at the similarity that may share no band.
+WIDE, MINIMA, MISS = 4, 4, 0.005
+#: Shingles below which a set has no useful fingerprint.
+SMALL = 64
 #: Shingles of one part of a cluster in the exact check.
-SHINGLES = 4_000_000
+SHINGLES = 2_000_000
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -171,6 +173,11 @@ def local_links(fps: np.ndarray, group: np.ndarray, side: tuple[np.ndarray, np.n
             held, size = [], 0
     if held:
         merge_labels(label, *map(np.concatenate, zip(*held, strict=True)))
+    return one_group(names, label)
+
+
+def one_group(names: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Edges of a tree of bounded degree over the rows of each label."""
     order = np.argsort(label, kind="stable")
     sorted_labels = label[order]
     begin = np.searchsorted(sorted_labels, sorted_labels, "left")
@@ -258,8 +265,10 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         jumped = step.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
         new = write_table(jumped, "component-labels")
         moved = new.filter("label <> old").limit(1).count()
+        drop_table(label)
         label = new.select("node", "label")
         if not moved:
+            drop_table(both)
             return label
     raise ValueError("components did not settle")
 
@@ -269,63 +278,73 @@ def bit_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def binomial(n: int, p: float) -> np.ndarray:
-    """Chances of 0 to n successes."""
-    return np.array([math.comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1)])
-
-
 def cuts(similarity: float) -> tuple[int, int]:
     """Bits in which the first word and all words may differ: three deviations beyond the expected distance."""
     p = bit_share(similarity)
     return tuple(int(np.ceil(w * p + 3 * np.sqrt(w * p * (1 - p)))) for w in (64, 64 * WIDE))
 
 
-def missed(similarity: float, bits: int, choices: int) -> float:
-    """Chance that a pair just at the similarity is beyond a cut or agrees on none of the choices of ``bits`` bits."""
-    (radius, most), p, w = cuts(similarity), bit_share(similarity), 64 * WIDE
-    agree = np.array([math.comb(w - d, bits) / math.comb(w, bits) for d in range(most + 1)])
-    all_ = binomial(w, p)
-    return float(binomial(64, p)[radius + 1 :].sum() + all_[most + 1 :].sum() + (all_[: most + 1] * (1 - agree) ** choices).sum())
+def band_count(similarity: float) -> int:
+    """Bands so that a pair just at the similarity shares none with a chance of at most MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**MINIMA)))
 
 
-def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges (a, b) between ``node`` s of distinct wide fingerprints ``fps``; ``verified_links`` decides.
-
-    Fixed-radius keys that miss nothing would be far too many at this distance. Instead each fingerprint is
-    filed under as many random choices of its bits as keep the chance of missing a pair at the similarity,
-    over all distances it may have, within MISS, with more bits a choice as the input grows. Shards are
-    searched by BK-trees over the first word; both it and all words are cut at three standard deviations.
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """One key per band: a hash of the smallest values of a set under MINIMA different mixings (MinHash)."""
+    least = np.full(bands * MINIMA, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    factor = np.arange(1, bands * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096]
+        x = (x ^ (x >> np.uint64(31))) * factor[:, None]
+        np.minimum(least, ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(1), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for m in least.reshape(bands, MINIMA).T:
+        key = (key ^ m) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(33)
+    return key
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidate edges (a, b) between the ``node`` s of distinct shingle sets; ``verified_links`` decides.
+
+    ``sets`` has ``bands`` (``band_keys``), ``size`` and the wide fingerprint of each set. Sets that share a band
+    make a shard; their number doesn't depend on how many sets there are. Shards are searched by BK-trees over the
+    first word; it and all words are cut at three standard deviations. Sets of fewer than SMALL shingles have too
+    few for a fingerprint, so in shards of their own all members are candidates; sets up to SMALL / similarity,
+    which may be alike to one of those, are filed in both ways.
     """
-    n = fps.count()
-    bits = max(12, int(np.ceil(np.log2(max(n, 2)))) - 2)
-    choices = next(c for c in range(1, 1 << 20) if missed(similarity, bits, c) <= MISS)
     radius, most = cuts(similarity)
-    rng, names = np.random.default_rng(8), [f"w{i}" for i in range(WIDE)]
-    keys = []
-    for c in range(choices):
-        masks = np.zeros(64 * WIDE, np.uint8)
-        masks[rng.choice(64 * WIDE, bits, replace=False)] = 1
-        words = np.packbits(masks, bitorder="little").view("<i8").tolist()
-        keys.append(F.xxhash64(F.lit(c), *(F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(names, words, strict=True))))
-    filed = fps.select("node", *names, F.explode(F.array(*keys)).alias("key")).withColumn("choice", F.lit(0))
-    hot = filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHARD)
-    hot = write_table(hot.select("key", F.ceil(F.col("m") / SHARD).cast("int").alias("parts")), "simhash-keys")
-    if hot.limit(1).count():
-        filed = filed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        filed = filed.withColumn("parts", F.lit(1))
+    names = [f"w{i}" for i in range(WIDE)]
+    one, both, zero = (F.array(*map(F.lit, x)) for x in ((1,), (1, 0), (0,)))
+    kinds = F.when(F.col("size") < SMALL, one).when(F.col("size") <= SMALL / similarity, both).otherwise(zero)
+    filed = sets.select("node", F.explode("bands").alias("key"), kinds.alias("kinds"))
+    filed = filed.select("node", "key", F.explode("kinds").alias("choice"))
+    shared = filed.groupBy("key", "choice").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = write_table(shared.select("key", "choice", F.ceil(F.col("m") / SHARD).cast("int").alias("parts")), "simhash-keys")
+    # only sets that share a shard send their fingerprints there
+    met = filed.join(shared, ["key", "choice"]).join(sets.select("node", *names), "node")
 
     def solve(rows: pd.DataFrame, group: np.ndarray, side: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-        wide = rows[names].to_numpy(np.int64).view(np.uint64)
-        return local_links(np.ascontiguousarray(wide[:, 0]), group, side, radius, wide, most, rows.node.to_numpy(np.int64))
+        wide = np.ascontiguousarray(rows[names].to_numpy(np.int64)).view(np.uint64)
+        node, tiny = rows.node.to_numpy(np.int64), rows.choice.values == 1
+        out = []
+        for mask, free in ((tiny, True), (~tiny, False)):
+            if mask.any():
+                w = wide[mask]
+                sides = tuple(x[mask] for x in side)
+                out.append(one_group(node[mask], group[mask]) if free else local_links(np.ascontiguousarray(w[:, 0]), group[mask], sides, radius, w, most, node[mask]))
+        return pd.concat(out, ignore_index=True)
 
-    return in_shards(filed, ["node", *names], solve)
+    return in_shards(met, ["node", *names], solve)
 
 
 def exact_links(sets: list[np.ndarray], wide: np.ndarray, side: tuple[np.ndarray, np.ndarray], similarity: float, most: int) -> list[tuple[int, int]]:
-    """Pairs of rows, one of each side, that span the components of Jaccard ``similarity`` of sorted sets. Each row that
-    is reached is compared with those not reached yet whose fingerprint is at most ``most`` bits away."""
+    """Pairs of rows, one of each side, that span the components of Jaccard ``similarity`` of sets. Each row that is
+    reached is compared with those not reached yet whose fingerprint is at most ``most`` bits away, if not small."""
     sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own, tiny = np.zeros(int(flat.max(initial=-1)) + 1, np.uint8), sizes <= SMALL / similarity
     left, out = np.ones(len(sets), bool), []
     for seed in range(len(sets)):
         if not left[seed]:
@@ -335,16 +354,19 @@ def exact_links(sets: list[np.ndarray], wide: np.ndarray, side: tuple[np.ndarray
             at = todo.pop()
             other = (side[1] if side[0][at] else False) | (side[0] if side[1][at] else False)
             near = np.flatnonzero(left & other & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-9))
-            near = near[np.bitwise_count(wide[near] ^ wide[at]).sum(1) <= most]
-            for begin in range(0, len(near), 1024):
-                part, own = near[begin : begin + 1024], sets[at]
-                flat = np.concatenate([sets[i] for i in part])
-                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                common = np.bincount(np.repeat(np.arange(len(part)), sizes[part])[hit], minlength=len(part))
-                alike = part[common * (1 + similarity) >= similarity * (sizes[part] + sizes[at]) - 1e-9]
-                left[alike] = False
-                todo += alike.tolist()
-                out += [(at, i) for i in alike.tolist()]
+            near = near[tiny[near] | (np.bitwise_count(wide[near] ^ wide[at]).sum(1) <= most)]
+            if not len(near):
+                continue
+            mine = flat[starts[at] : starts[at] + sizes[at]]
+            own[mine] = 1
+            ends = np.cumsum(sizes[near])
+            where = np.repeat(starts[near] - (ends - sizes[near]), sizes[near]) + np.arange(ends[-1])
+            common = np.add.reduceat(own[flat[where]], ends - sizes[near], dtype=np.int64)
+            own[mine] = 0
+            alike = near[common * (1 + similarity) >= similarity * (sizes[near] + sizes[at]) - 1e-9]
+            left[alike] = False
+            todo += alike.tolist()
+            out += [(at, i) for i in alike.tolist()]
     return out
 
 
@@ -374,20 +396,27 @@ def verified_links(clusters: DataFrame, similarity: float) -> DataFrame:
 def similar_documents(df: DataFrame, similarity: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text", row: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``df``: doc_id and component_id, linking texts whose k-word shingle sets have a Jaccard
     similarity of ``similarity`` or more. Equal sets are always linked, texts without words with each other.
-    ``row``: a unique key that ``df`` was written with, else one is written; it and the columns ``carry`` are kept."""
+    ``row``: a unique number that ``df`` was written with, else one is written; it and the columns ``carry`` are kept.
+
+    Texts stay where they are: what is shuffled are keys, fingerprints, and the shingle hashes of candidates.
+    """
     small_batches(df.sparkSession)
-    names = [f"w{i}" for i in range(WIDE)]
+    names, bands = [f"w{i}" for i in range(WIDE)], band_count(similarity)
     if row is None:
         df = write_table(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry, F.monotonically_increasing_id().alias("__sd_row")), "simhash-rows")
         doc_id, text = "doc_id", "text"
     key, kept = row or "__sd_row", ["doc_id", *([row] if row else []), *carry]
 
-    @F.pandas_udf(", ".join(f"{w} long" for w in ["node", *names]))
+    @F.pandas_udf(f"{', '.join(f'{w} long' for w in ['node', 'size', *names])}, bands array<long>")
     def run(batch: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        sets = (np.unique(shingle_hashes(t, k)) for t in batch)
-        return pd.DataFrame(np.array([[xxhash.xxh64_intdigest(x.tobytes(), 7), *wide_fingerprint(x)] for x in sets], np.uint64).view(np.int64).reshape(-1, WIDE + 1), columns=["node", *names])
+        out = []
+        for t in batch:
+            x = np.unique(shingle_hashes(t, k))
+            numbers = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7), len(x), *wide_fingerprint(x)], np.uint64)
+            out.append((*numbers.view(np.int64).tolist(), band_keys(x, bands).view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "size", *names, "bands"])
 
     @F.pandas_udf("array<long>")
     def hashes(batch: pd.Series) -> pd.Series:
@@ -395,11 +424,14 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, k: int = 5, doc_id
 
     marked = df.select(F.col(doc_id).alias("doc_id"), F.col(key).alias(key), *carry, run(text_or_empty(text)).alias("w"))
     marked = write_table(marked.select("doc_id", key, *carry, "w.*"), "simhash-wide")
-    per = write_table(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.min(key).alias("__sd_first")), "simhash-sets")
+    same = [F.any_value(c).alias(c) for c in ("size", *names, "bands")]
+    per = write_table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(key).alias("__sd_first"), *same), "simhash-sets")
     # one text of each set in a cluster of several is read again, by the number of its row
-    near = per.join(components(similar_links(per.drop("least", "__sd_first"), similarity)), "node")
-    texts = df.select(F.col(key).alias("__sd_first"), F.col(text).alias("__sd_text")).join(near, "__sd_first")
-    clusters = write_table(texts.select("label", "node", *names, hashes(text_or_empty("__sd_text")).alias("hashes")), "simhash-clusters")
+    near = per.select("node", "__sd_first", *names).join(components(similar_links(per.drop("least", "__sd_first"), similarity)), "node")
+    near = write_table(near, "simhash-near")
+    texts = pick_rows(df.select(F.col(key).alias("__sd_first"), F.col(text).alias("__sd_text")), "__sd_first", near)
+    texts = texts.select("__sd_first", hashes(text_or_empty("__sd_text")).alias("hashes")).join(near, "__sd_first")
+    clusters = write_table(texts.select("label", "node", *names, "hashes"), "simhash-clusters")
     label = components(verified_links(clusters, similarity))
     named = per.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
