@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import byte_bpe, decontaminate, pii, simhash, toxicity
-from spindrift.llm.common import write_table
+from spindrift.llm.common import pick_rows, write_table
 from spindrift.llm.queries import table, tokenizer
 
 #: Score from which a document is rejected as toxic, similarity of near-duplicates, and the key of the surrogates.
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.similar_documents(keyed, SIMILAR, 5, row="__sd_row", carry=("__sd_md5",))
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "__sd_md5").agg(F.min("__sd_row").alias("__sd_row"))
     stays = write_table(stays.select("__sd_row"), "simhash-kept")
-    return keyed.join(stays, "__sd_row", "left_semi").select(docs.columns)
+    return pick_rows(keyed, "__sd_row", stays).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
