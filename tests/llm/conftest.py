@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -9,6 +10,11 @@ def prose(r: random.Random, n: int) -> str:
     return " ".join(r.choice(["the", "and", "of"]) if r.random() < 0.3 else "".join(r.choice("ab cdefghiéñ".replace(" ", "")) for _ in range(r.randrange(2, 9))) for _ in range(n))
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """Nulls in every column, empty and very long texts, ties, exact and near copies, repeated rows."""

@@ -28,12 +28,63 @@ def test_tree_fits_its_table():
         ("<div><h2>A title</h2><p>" + LONG + "</p><ul class='menu'><li><a>Home</a><li><a>B</a></ul></div>", "A title\n\n" + LONG.strip()),
         ("<article><p>open <b>bold<p>next<!-- c --><!-- open", "open bold\n\nnext"),
         ("<article><p>a &lt;b&gt; &#233; &copy <p>x < y</article>", "a <b> é ©\n\nx < y"),
+        # names that only hint at furniture, linked titles and sources, short pages, cards, linked blocks
+        ("<article><p class=share-price>" + LONG + "</p><section id=search-algorithms><p>About them.</p></section></article>", LONG.strip() + "\n\nAbout them."),
+        ("<article><h1><a href=/self>A title that links to itself</a></h1><p>" + LONG + "</p><ul><li><a href=1>A source of some words</a><li><a href=2>Another source of words</a></ul></article>", "A title that links to itself\n\n" + LONG.strip() + "\n\nA source of some words\n\nAnother source of words"),
+        ("<h1>Note</h1><p>one two three four five six seven eight nine ten</p>", "Note\n\none two three four five six seven eight nine ten"),
+        ("<main><h1>T</h1><p>" + LONG + "</p><p>LAST short para</p><article><h3><a href=1>Other story here</a></h3><p>Its teaser text</p></article></main>", "T\n\n" + LONG.strip() + "\n\nLAST short para"),
+        ("<a href=1><div>nav link text of some length here</div></a><a href=2><div>more nav link text of this kind</div></a><div><p>" + LONG + "</p></div>", LONG.strip()),
+        ("<article><p>one <a href='x'>link</a> <b title='a>b'>two</b></p></article>", "one link two"),
     ],
 )
 def test_known_pages(page, text):
     assert html_extract.extract(page, TREE) == text
 
 
+@pytest.mark.parametrize("piece", ['<a b="', "<a '>'", "<div>", "<span class=ad>", "<!--", "</script", "<p><article>", "<li><span class=ad>", "</p>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(piece * (1_000_000 // len(piece)), TREE)
+    assert time.process_time() - began < 20
+
+
+def test_extraction_equals_brute_force(spark, sf_dir):
+    """The pages of the tables mark their article: all of its blocks, and nothing else, is main text."""
+    from html.parser import HTMLParser
+
+    from spindrift.llm.queries import op1_html_text
+
+    class Plain(HTMLParser):
+        def handle_starttag(self, tag, attributes):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.parts[-1] += " "
+            elif tag in ("h1", "p", "article"):
+                self.parts.append("")
+
+        def handle_endtag(self, tag):
+            self.parts.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts[-1] += data
+
+    def plain(page):
+        p = Plain()
+        p.inside, p.parts = False, [""]
+        p.feed(page.replace("<b>", "").replace("</b>", ""))
+        return "\n\n".join(" ".join(x.split()) for x in p.parts if x.strip())
+
+    html_of = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = op1_html_text(spark, sf_dir).collect()
+    assert len(got) == len(html_of)
+    for r in got:
+        assert r.text == plain(html_of[r.page_id] or "") and r.n_chars == len(r.text)
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     same = "<p>" + "equal " * 30 + "</p>"
