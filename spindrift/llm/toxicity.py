@@ -1,18 +1,21 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-Training. From a bounded sample of labelled texts, words that toxic texts use much more often than
-ordinary ones make up the samples of the toxic dictionary, words for which the reverse holds those of the
-ordinary dictionary, and windows of both make up a background dictionary that stands behind both, so that
-the two compressors differ only in what tells the classes apart. All three are trained by zstandard.
+Training. From a sample of labelled texts, bounded in rows and bytes of whole texts, the words of toxic texts
+that are much more frequent there than in ordinary ones are what the toxic dictionary is trained on, the words
+of ordinary texts for which the reverse holds train the ordinary one, and phrases of both train a background
+dictionary that stands behind both, so that the two compressors differ only in what tells the classes apart.
+All three are trained by zstandard. (Trained on the whole windows of both classes instead, the two dictionaries
+hold the same frequent phrases; README has the figures.)
 
 Scoring. A text is cut into windows of about ``WINDOW`` bytes at spaces; for each the compressed length
 with the ordinary dictionary less that with the toxic one is its distance. The mean distance, the share
 of windows above each of a few thresholds and the mean of the two largest distances go through logistic
-regression, fitted on a part of the sample that did not train the dictionaries and corrected for the share
-of toxic labels among all that may be learnt from; that calibrates the score as the probability of label 1.
+regression, fitted on texts seen through dictionaries that other parts of the sample trained and corrected for
+the share of toxic labels among all that may be learnt from; that calibrates the score as the probability of label 1.
 
 Only texts and labels are used. Null and empty texts get the score of a text without windows. Texts are
-scored whole. Repeated rows get equal scores. With no toxic or no ordinary label to learn from, every
+scored whole. Repeated rows get equal scores, an empty table an empty result, a column that has the name of the
+score is replaced. With no toxic or no ordinary label to learn from, every
 score is the share of toxic labels (0 without labels).
 """
 
@@ -26,11 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import small_batches, text_or_empty
 
-#: Labelled texts of each class in the training sample at most, chosen by hash, and bytes used of each.
-SAMPLE, SAMPLE_BYTES = 2500, 12_000
+#: Bounds of the training sample, for each class: whole texts, chosen by hash, and bytes of them all.
+SAMPLE, SAMPLE_BYTES = 2500, 24_000_000
+#: Parts of the sample that are calibrated on in turn, with dictionaries trained on the others.
+FOLDS = 3
 WINDOW = 64
 #: Bytes of the class dictionaries and of the shared background.
 CLASS_BYTES, BACKGROUND_BYTES, LEVEL = 1280, 12_288, 9
@@ -118,28 +124,37 @@ def telling(one: list[str], other: list[str]) -> list[bytes]:
     """Per text of ``one``, its words that are over LIFT times as frequent there as in ``other`` and not rare."""
     a, b = (Counter(w for t in ts for w in set(t.lower().split())) for ts in (one, other))
     least = max(3, len(one) // ONE_IN)
-    keep = {w for w, n in a.items() if n >= least and n / len(one) > LIFT * (b[w] + 0.5) / len(other)}
+    keep = {w for w, n in a.items() if n >= least and n / len(one) > LIFT * (b[w] + 0.5) / max(1, len(other))}
     out = [" ".join(w for w in t.lower().split() if w in keep) for t in one]
-    return [f" {x} ".encode("utf-8", "surrogatepass")[:1000] for x in out if x]
+    return [f" {x} ".encode("utf-8", "surrogatepass") for x in out if x]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    """A model without weights: the class dictionaries, each in front of the shared background."""
+    both = ordinary + toxic[: max(1, len(ordinary) // 4)]
+    phrases = [w for t in both for ws in (windows(t),) for i in range(0, len(ws), 4) if (w := b"".join(ws[i : i + 4]))]
+    background = trained(BACKGROUND_BYTES, phrases, BACKGROUND_SEGMENT)
+    own = [trained(CLASS_BYTES, telling(a, b), CLASS_SEGMENT) for a, b in ((toxic, ordinary), (ordinary, toxic))]
+    return Model(own[0] + background, own[1] + background, np.zeros(0))
 
 
 def train(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
-    """``share`` of toxic labels among all: calibration starts from it if the sample has another share."""
+    """``share`` of toxic labels among all: calibration starts from it if the sample has another share.
+
+    Calibration looks at whole texts only through dictionaries that other texts trained (FOLDS parts in turn).
+    """
     n = len(toxic) + len(ordinary)
     if not toxic or not ordinary:
         return Model(b"", b"", np.zeros(0), len(toxic) / n if n else 0.0)
-    # two thirds train the dictionaries, the rest calibrates; tiny samples do both
-    part = lambda xs: (xs[::3], [x for i, x in enumerate(xs) if i % 3]) if len(xs) >= 60 else (xs, xs)
-    (cal_t, fit_t), (cal_o, fit_o) = part(toxic), part(ordinary)
-    spread = [w for t in fit_o + fit_t[: max(1, len(fit_o) // 4)] for w in (b"".join(windows(t)[i : i + 4]) for i in range(0, 120, 4)) if w]
-    background = trained(BACKGROUND_BYTES, spread, BACKGROUND_SEGMENT)
-    own = [trained(CLASS_BYTES, telling(a, b), CLASS_SEGMENT) for a, b in ((fit_t, fit_o), (fit_o, fit_t))]
-    model = Model(own[0] + background, own[1] + background, np.zeros(0))
-    x = model.features(cal_t + cal_o)
-    y = np.array([1.0] * len(cal_t) + [0.0] * len(cal_o))
-    model.weights = logistic(x, y)
+    x, y = [], []
+    for fold in range(FOLDS):
+        (test_t, rest_t), (test_o, rest_o) = [[[t for i, t in enumerate(ts) if (i % FOLDS == fold) is part] for part in (True, False)] for ts in (toxic, ordinary)]
+        x.append(dictionaries(rest_t, rest_o).features(test_t + test_o))
+        y += [1.0] * len(test_t) + [0.0] * len(test_o)
+    model = dictionaries(toxic, ordinary)
+    model.weights = logistic(np.vstack(x), np.array(y))
     if share and share < 1:
-        model.weights[0] += np.log(share / (1 - share)) - np.log(len(cal_t) / len(cal_o))
+        model.weights[0] += np.log(share / (1 - share)) - np.log(len(toxic) / len(ordinary))
     return model
 
 
@@ -148,23 +163,24 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """The training sample: at most ``sizes`` texts of each label, the first by a hash of doc_id and text.
-
-    A text with several labels counts once for each distinct one.
+def sample(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
+    """The training sample: of each label at most ``sizes`` whole texts, the first by a hash of doc_id, and of these
+    the first that together have at most ``most`` bytes. A text with several labels counts once for each distinct one.
     """
     known = labels.select("doc_id", "toxic").filter("toxic in (0, 1)").distinct().filter(~held_out("doc_id"))
-    # choose ids before touching texts: only the chosen rows' texts reach the driver
-    order = F.xxhash64("doc_id")
-    ids = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sizes) for k in (1, 0)]
-    chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * sizes pairs of numbers
-    got = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text is not null").join(chosen, "doc_id")
-    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * sizes).collect()
-    return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
-
-
-def fit(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE) -> Model:
-    toxic, ordinary = sample(docs, labels, sizes)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    # choose ids before touching texts: only the chosen rows' texts are moved
+    out = []
+    for k in (1, 0):
+        ids = F.broadcast(known.filter(F.col("toxic") == k).select("doc_id").orderBy(order[0], "doc_id").limit(sizes))  # at most `sizes` numbers
+        rows = docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id").distinct().orderBy(*order).limit(sizes)
+        held = rows.withColumn("upto", F.sum(F.octet_length("text")).over(W.partitionBy(F.lit(k)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        out.append([r.text for r in held.filter(F.col("upto") <= most).select("text").collect()])
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    toxic, ordinary = sample(docs, labels, sizes, most)
     share = labels.filter("toxic in (0, 1)").filter(~held_out("doc_id")).agg(F.avg("toxic")).first()[0]
     mix = random.Random(7)
     mix.shuffle(toxic)
