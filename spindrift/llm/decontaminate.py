@@ -8,12 +8,14 @@ where the window must start (positional bound), which must leave room for the wh
 bound); the candidates left are verified shingle by shingle at their exact places.
 
 The documents are read twice: once for the places of benchmark shingles (a stage without shuffles as long
-as the benchmark's shingles are few enough to broadcast, which is checked), once for the word counts.
-Only places of benchmark shingles are shuffled, never texts.
+as the benchmark's shingles are few enough to broadcast, which is checked), once for the word counts and the
+caller's columns. There the results of the texts with hits are broadcast, if a count finds them few enough;
+else the rows, with the columns that the caller keeps, are shuffled to them.
 
 Nulls and empty texts have no words and no hits; items without words have no windows. Repeated documents
 each get their own row. Items are told apart by item_id; several rows of one id count as one item. Null
-ids of items are left out of the items' list but their windows still hit.
+ids of items are left out of the items' list but their windows still hit. Without documents the result is
+empty, without items nothing is hit. Columns named like a result are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import NON_WORD_CLASS, let, lower_ascii, words, write_table
 
 #: Benchmark shingles up to which their table is broadcast (about 100 bytes each); more are shuffled.
 BROADCAST_SHINGLES = 500_000
+#: Distinct texts with hits up to which their results are broadcast (about 150 bytes each); beyond, texts are shuffled to them.
+BROADCAST_FOUND = 200_000
 
 
 def plain_words(text: str | Column) -> Column:
@@ -67,11 +71,12 @@ def occurrences(docs: DataFrame, wins: DataFrame, key: str, text: str = "text",
     if vocabulary.count() <= BROADCAST_SHINGLES:
         vocabulary = F.broadcast(vocabulary)
     base = docs.select(F.col(key).alias("__sd_k"), plain_words(text).alias("ws"))
-    found = None
-    for k in lengths:
-        places = base.select("__sd_k", F.posexplode(shingles(F.col("ws"), k)).alias("at", "sh"))
-        found = places if found is None else found.unionByName(places)
-    if found is None:
+    if len(lengths) == 1:
+        found = base.select("__sd_k", F.posexplode(shingles(F.col("ws"), lengths[0])).alias("at", "sh"))
+    elif lengths:  # one pass over the documents for all lengths
+        at = lambda k: F.transform(F.coalesce(shingles(F.col("ws"), k), F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("at"), x.alias("sh")))
+        found = base.select("__sd_k", F.inline(F.concat(*map(at, lengths))))
+    else:
         found = base.select("__sd_k", F.lit(0).alias("at"), F.lit("").alias("sh")).limit(0)
     places = write_table(found.join(vocabulary, "sh", "left_semi").distinct(), "shingle-places")
     rarity = places.groupBy("sh").agg(F.count("*").alias("df"))
@@ -101,7 +106,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
         F.count("item_id").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.col("item_id").cast("string")))), 256).alias("items_sha256"),
     )
-    found = n_hit.join(per_doc, "__sd_k")
+    found = write_table(n_hit.join(per_doc, "__sd_k"), "documents-hit")
+    if found.count() <= BROADCAST_FOUND:
+        found = F.broadcast(found)
     out = keyed.withColumn("n_words", F.size(plain_words(text)).cast("long")).join(found, "__sd_k", "left").drop("__sd_k")
     nothing = F.sha2(F.lit(""), 256)
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", nothing)}).withColumn("contaminated", F.col("n_hit") > 0)
