@@ -13,8 +13,10 @@ are derived anew with the next round number until no collision is left.
 
 Only entities and the texts that hold them are shuffled, these by a number of their row, so that copies
 of one text don't meet in one task; clean texts pass through their scan unchanged.
-Nulls stay null, empty texts empty; repeated rows are treated alike. Texts are never shortened.
-Names are found after a title or among common given names only.
+Nulls stay null, empty texts empty, an empty table empty; repeated rows are treated alike; a column that has the
+name of the count is replaced, all others pass through. Texts are never shortened. Names are found after a title,
+after words that announce one ("my name is", "Contact") where two capitalised words follow, or by one of some
+common given names: there is no model of names here, so others are missed (README).
 """
 
 from __future__ import annotations
@@ -24,17 +26,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, write_table
+from .common import drop_table, let, write_table
 
-#: Titles by gender, and given names by gender and script, used to find and to make names.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Sir", "г-н", "κ"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "г-жа", "κα")}
+#: Titles by gender (or of either), words that announce a name, and given names by gender and script, to find and to make names.
+TITLES = {
+    "m": ("Mr", "Herr", "Señor", "Monsieur", "Sir", "г-н", "κ"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "г-жа", "κα"),
+    "": ("Dr", "Prof", "Doctor", "Professor"),
+}
+CUES = ("my name is", "My name is", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "меня зовут", "Меня зовут", "με λένε", "Με λένε", "Name:", "Dear", "Contact", "contact", "Call", "call", "Signed", "signed")
 GIVEN = {
-    ("m", "latin"): ("James", "Robert", "Michael", "Thomas", "Peter", "Paul", "Hans", "Pierre", "Carlos", "Miguel", "Stefan", "Daniel"),
-    ("f", "latin"): ("Mary", "Anna", "Susan", "Laura", "Julia", "Claire", "Sophie", "Ingrid", "Carmen", "Lucia", "Katrin", "Helen"),
-    ("m", "cyrillic"): ("Иван", "Пётр", "Алексей", "Сергей", "Дмитрий", "Николай"),
-    ("f", "cyrillic"): ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина"),
-    ("m", "greek"): ("Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Πέτρος"),
-    ("f", "greek"): ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ιωάννα"),
+    ("m", "latin"): tuple("Ahmed Alan Andreas Antonio Carlos Charles Christian Daniel David Diego Francisco Frank Hans Henry Jack James Jean John Jorge José Juan Klaus Li Luis Mark Martin Michael Miguel Mohammed Omar Paul Peter Pierre Raj Robert Stefan Thomas Wei William Wolfgang".split()),
+    ("f", "latin"): tuple("Aisha Alice Anna Ana Carmen Charlotte Claire Elizabeth Emily Emma Fatima Helen Ingrid Isabel Jane Jennifer Julia Karen Katrin Laura Linda Lucia Margaret Maria María Marie Mary Mei Monika Nicole Olivia Patricia Priya Sabine Sarah Sofia Sophie Susan Ursula Yuki".split()),
+    ("m", "cyrillic"): ("Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Пётр", "Сергей", "Юрий"),
+    ("f", "cyrillic"): ("Анна", "Елена", "Екатерина", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"),
+    ("m", "greek"): ("Γιάννης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία"),
 }
 #: Syllables of made-up surnames by script.
 SYLLABLES = {
@@ -46,7 +53,9 @@ SYLLABLES = {
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_CUE = "|".join(CUES)
 _NAME = r"\p{Lu}[\p{Ll}'’-]{1,40}"
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1}"
 #: Type -> Java pattern; together they are one alternation, tried in this order.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -54,14 +63,14 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?=[3-6])(?<![0-9])(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9])",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?=[0-9+(])(?:(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+(])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9]))",
+    "phone": r"(?=[0-9+(])(?:(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+(])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9]))",
     "access_key": r"\bA[KS]IA[A-Z0-9]{16}\b",
-    "secret": r"(?<=[=:\"'\x20])(?=[A-Za-z0-9_+/-]{8})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})[A-Za-z0-9_+/-]{8,}+",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?<=\b(?:{_TITLE})\.?\x20){_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})",
+    "secret": rf"(?<=[=:\"'\x20])(?=[A-Za-z0-9_+/-]{{8}})(?<={_SECRET})[A-Za-z0-9_+/-]{{8,}}+",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?<=\b(?:{_TITLE})\.?\x20){_NAME}(?:\x20{_NAME})?|(?<=\b(?:{_CUE})\x20)(?!(?:{_TITLE})\b){_NAME}\x20{_NAME}|(?:{_GIVEN})\x20{_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes: one look at a character's class decides nearly everywhere.
-MAYBE = rf"[0-9@=:]|(?=[A-Z\u0370-\u044F])(?:A[KS]IA|(?:{_TITLE})\.?\x20\p{{Lu}}|(?:{_GIVEN})\x20\p{{Lu}})"
+MAYBE = rf"[0-9@=:]|(?=[A-Za-z\u0370-\u044F])(?<!\p{{L}})(?:A[KS]IA|(?:{_TITLE})\.?\x20\p{{Lu}}|(?:{_GIVEN}|{_CUE})\x20\p{{Lu}})"
 #: Rounds of collision checks; each leaves a vanishing share of the one before.
 ROUNDS = 20
 
@@ -124,7 +133,7 @@ def surrogate(t: Column, value: Column, canon: Column, gender: Column, nonce: Co
         return F.when(value.rlike("[ -]"), F.regexp_replace(whole, "([0-9]{4})(?=[0-9])", F.concat(F.lit("$1"), F.regexp_extract(value, "[ -]", 0)))).otherwise(whole)
 
     def phone(h: Column) -> Column:
-        country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+        country = F.regexp_extract(value, r"^\+(?:[17]|[0-9]{2})", 0)  # the same digits in every spelling
         return F.concat(country, F.substr(scramble(value, h), F.length(country) + 1))
 
     def name(h: Column) -> Column:
@@ -153,20 +162,25 @@ def genders(text: Column, value: Column) -> Column:
 
 
 def mapping(found: DataFrame, key: str) -> DataFrame:
-    """(type, value, gender) of all spellings -> with ``canon`` and ``surrogate``; distinct entities stay distinct."""
+    """(type, value, gender) of all spellings -> with ``canon`` and ``surrogate``; distinct entities stay distinct.
+
+    Collisions are looked for among canonical forms, which all spellings of one entity share."""
     spelt = found.groupBy("type", "value").agg(F.min("gender").alias("gender")).withColumn("canon", canonical(F.col("type"), F.col("value")))
     # one spelling stands for each entity in the collision checks
     one = spelt.groupBy("type", "canon").agg(F.min("value").alias("value"), F.min("gender").alias("gender")).withColumn("nonce", F.lit(0))
-    originals = spelt.select(F.col("value").alias("core")).distinct().withColumn("taken", F.lit(True))
-    one = write_table(one, "pii-entities")
+    originals = spelt.select(F.col("canon").alias("core")).distinct().withColumn("taken", F.lit(True))
+    one = last = write_table(one, "pii-entities")
     for _ in range(ROUNDS):
-        s = one.withColumn("core", surrogate(F.col("type"), F.col("value"), F.col("canon"), F.col("gender"), F.col("nonce"), key))
+        s = one.withColumn("core", canonical(F.col("type"), surrogate(F.col("type"), F.col("value"), F.col("canon"), F.col("gender"), F.col("nonce"), key)))
         # several entities with one surrogate: the smallest keeps it
         owner = s.groupBy("core").agg(F.min(F.struct("nonce", "type", "canon")).alias("o"))
         judged = s.join(owner, "core").join(originals, "core", "left")
         again = (F.struct("nonce", "type", "canon") != F.col("o")) | F.coalesce("taken", F.lit(False))
         judged = write_table(judged.select("type", "canon", "value", "gender", "nonce", again.alias("again")), "pii-round")
+        drop_table(last)
+        last = judged
         if judged.filter("again").limit(1).count() == 0:
+            one = judged
             break
         one = judged.withColumn("nonce", F.col("nonce") + F.col("again").cast("int")).drop("again")
     else:
@@ -187,7 +201,10 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_en
     held = df.filter(dirty).withColumn("__sd_row", F.monotonically_increasing_id()).withColumn("__sd_found", entities(t))
     held = write_table(held, "pii-texts")
     seen = held.select("__sd_row", t.alias("text"), F.explode(F.array_distinct("__sd_found")).alias("value")).withColumn("type", kind(F.col("value")))
-    seen = seen.filter((F.col("type") != "card") | (luhn_sum(F.regexp_replace("value", "[^0-9]", ""), 1) % 10 == 0))
+    # a number that fails Luhn's check is no card, but a secret if the text calls it one
+    failed = (F.col("type") == "card") & (luhn_sum(F.regexp_replace("value", "[^0-9]", ""), 1) % 10 != 0)
+    secret = F.regexp_like("text", F.concat(F.lit(_SECRET), F.lit(r"\Q"), F.col("value"), F.lit(r"\E")))
+    seen = seen.withColumn("type", F.when(failed, F.when(secret, F.lit("secret"))).otherwise(F.col("type"))).filter("type is not null")
     gender = F.when(F.col("type") == "name", genders(F.col("text"), F.col("value")))
     seen = write_table(seen.select("__sd_row", "type", "value", gender.alias("gender")), "pii-found")
     spelt = mapping(seen, key)

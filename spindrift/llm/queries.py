@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of surrogates: the session's ``spindrift.surrogates.key``, or else a key for trials."""
+    return spark.conf.get("spindrift.surrogates.key", "trial-key")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +53,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, "production-key").select("doc_id", "text", "n_entities")
+    return pii.pseudonymise(docs, surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

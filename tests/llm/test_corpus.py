@@ -143,6 +143,55 @@ def test_surrogates_keep_type_coreference_and_distinctness(spark, documents, cla
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_secrets_and_names_of_many_kinds(spark):
+    rows = ["password=4111111111111112 end", "4111111111111112 end", "Call Wei Zhang or Priya Patel", "Dr Olivia Smith wrote to Prof. Xu", "my name is Zorblat Quux.", "Call The Office", "+49 170 1234567 and +491701234567"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert re.fullmatch(r"password=\d{16} end", got[0].text) and "4111111111111112" not in got[0].text and got[0].n_entities == 1
+    assert got[1].text == rows[1] and got[1].n_entities == 0
+    for i, names in ((2, ("Zhang", "Patel")), (3, ("Smith", "Xu")), (4, ("Zorblat", "Quux"))):
+        assert not any(n in got[i].text for n in names)
+    a, b = got[6].text.split(" and ")
+    assert a.replace(" ", "") == b and a.startswith("+49 ") and a != "+49 170 1234567"
+
+
+def test_surrogates_equal_brute_force(spark, sf_dir):
+    """Entities found by another engine of regular expressions; each gets one surrogate of its shape, all distinct."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN.replace("++", "+").replace(",}+", ",}"))
+    luhn = lambda v: sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(re.sub(r"\D", "", v)))) % 10 == 0
+    card = regex.compile(f"(?:{pii.PATTERNS['card']})")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    digit = lambda v: re.sub(r"\d", r"\\d", re.escape(v))
+
+    def shape(v):
+        if "@" in v:
+            return r"[^\s@]+@mail\d{5}\.example\.(?:com|net|org)"
+        if re.fullmatch(r"[\d.]+", v) and v.count(".") == 3:
+            return r"2\d\d\.\d+\.\d+\.\d+"
+        if re.fullmatch(r"[^\W\d]+(?:[ '’-][^\W\d]+)*", v):
+            return r"[^\W\d_]+(?: [^\W\d_]+)?"
+        return re.sub("[a-z]", "[a-z]", re.sub("[A-Z]", "[A-Z]", digit(v).replace(r"\d", "0"))).replace("0", r"\d")
+
+    of, total = {}, 0
+    for r in docs.collect():
+        at, made, found = 0, "", []
+        for m in pattern.finditer(r.text or ""):
+            if not card.fullmatch(m[0]) or luhn(m[0]):
+                made += re.escape(r.text[at : m.start()]) + f"({shape(m[0])})"
+                at = m.end()
+                found.append(m[0])
+        new = re.fullmatch(made + re.escape((r.text or "")[at:]), got[r.doc_id].text or "", re.S)
+        assert new, (r.text, got[r.doc_id].text)
+        for v, s in zip(found, new.groups(), strict=True):
+            assert of.setdefault(v, s) == s != v
+        total += len(found)
+    assert total and total == sum(r.n_entities for r in got.values())
+    assert len(set(of.values())) == len(of) and not set(of.values()) & set(of)
+
+
 def test_colliding_surrogates_are_derived_anew(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda t, v, c, g, nonce, key: F.when(nonce == 0, F.lit("same")).otherwise(real(t, v, c, g, nonce, key)))
