@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from spindrift.llm.common import pick_rows, write_table
-from spindrift.llm.queries import table, tokenizer
+from spindrift.llm.queries import surrogate_key, table, tokenizer
 
-#: Score from which a document is rejected as toxic, similarity of near-duplicates, and the key of the surrogates.
-TOXIC, SIMILAR, KEY = 0.3, 0.8, "production-key"
+#: Score from which a document is rejected as toxic, and similarity of near-duplicates.
+TOXIC, SIMILAR = 0.3, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, KEY, count="__sd_entities").drop("__sd_entities")
+    out = pii.pseudonymise(docs, surrogate_key(spark), count="__sd_entities").drop("__sd_entities")
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
 
 
