@@ -27,7 +27,7 @@ from .common import chunks, small_batches, text_or_empty
 #: Fixed value: the pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a Python worker keeps, and characters of the texts encoded together.
-KEEP, TOGETHER = 900_000, 3_000_000
+KEEP, TOGETHER = 250_000, 1_000_000
 NEVER = np.int64(1) << 40
 #: Bytes up to which pre-tokens are merged side by side in a NumPy grid; longer ones use a heap.
 WIDEST = 48
