@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_two_sided, ratio
+from .ranks import least_from_here_on, numbered
 
 
 def group_contrast(cells: DataFrame, control: str, grp: str = "grp", replicate: str = "replicate", measure: str = "measure", value: str = "value", cognate: str = "cognate") -> DataFrame:
@@ -45,12 +46,17 @@ def bh_qvalues(df: DataFrame, p: str = "p", out: str = "q", *by: str) -> DataFra
 
     Runs over an effect table (one row per pair), inside ``by`` if given. Null p stay null and don't count.
     """
-    keys = by or (F.lit(0),)
-    n = F.count(p).over(W.partitionBy(*keys))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last()))
-    down = W.partitionBy(*keys).orderBy(F.col(p).desc_nulls_last(), F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = df.withColumn("_n", n).withColumn("_r", rank).withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_n") / F.col("_r")))
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(down), F.lit(1.0)))).drop("_n", "_r", "_raw")
+    if by:
+        n = F.count(p).over(W.partitionBy(*by))
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(F.col(p).asc_nulls_last()))
+        down = W.partitionBy(*by).orderBy(F.col(p).desc_nulls_last(), F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0)
+        ranked = df.withColumn("_n", n).withColumn("_r", rank).withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_n") / F.col("_r")))
+        return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(down), F.lit(1.0)))).drop("_n", "_r", "_raw")
+    ranked = numbered(df, F.col(p).asc_nulls_last())
+    n = ranked.agg(F.count(p).alias("_n"))  # one row
+    raw = ranked.crossJoin(F.broadcast(n)).withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_n") / F.col("_r")))
+    least = least_from_here_on(raw, "_raw", "_least")
+    return least.withColumn(out, F.when(F.col(p).isNotNull(), F.least("_least", F.lit(1.0)))).drop("_n", "_r", "_raw", "_least", "_part")
 
 
 def subset_flags(effects: DataFrame, pooled: DataFrame, alpha: float = 0.05, top: float = 0.75, bottom: float = 0.5) -> DataFrame:

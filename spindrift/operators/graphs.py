@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import write_table
+from ..sources.shared import drop_table, write_table
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -20,8 +20,10 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = write_table(step.join(up, "component").select("node", "old", F.least("component", "up").alias("component")), "graph-labels")
         moved = new.filter("component <> old").limit(1).count()
+        drop_table(label)
         label = new.select("node", "component")
         if not moved:
+            drop_table(both)
             return label
     raise ValueError("components did not settle")
 

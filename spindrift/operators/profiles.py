@@ -9,11 +9,40 @@ from pyspark.sql import functions as F
 from ..functions.stats import average_rank, normal_two_sided, pearson, ratio
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...], buckets: int = 200) -> DataFrame:
+    """(by..., n, share, quantile): exact quantiles, linear between ranks, of values that aren't null.
+
+    Equal values are counted first; approximate quantiles cut each group's distinct values into buckets, whose
+    counts tell in which bucket a rank lies; only the values of those buckets are put in order. So neither an
+    aggregation buffer nor a sort ever holds all values of a group.
+    """
+    g = [*by, "_one"]
+    n = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(0)).groupBy(*g, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = n.groupBy(*g).agg(F.percentile_approx("_v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 20 * buckets).alias("_cuts"), F.sum("_c").alias("n"))
+    filed = n.join(F.broadcast(cuts.select(*g, "_cuts")) if not by else cuts.select(*g, "_cuts"), g)
+    filed = filed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    held = filed.groupBy(*g, "_b").agg(F.sum("_c").alias("_c"))
+    below = held.withColumn("_below", F.sum("_c").over(W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
+    below = below.select(*g, "_b", F.coalesce("_below", F.lit(0)).alias("_below"), F.col("_c").alias("_in"))
+    # the two ranks (from 0) that each share lies between
+    asked = cuts.select(*g, "n", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")).withColumn("_at", F.col("share") * (F.col("n") - 1))
+    asked = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    place = asked.join(below, g).filter((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
+    need = place.select(*g, "_b", "_below").distinct()
+    order = W.partitionBy(*g, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    values = filed.join(need, [*g, "_b"]).withColumn("_to", F.col("_below") + F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
+    hit = place.drop("_below", "_in").join(values.select(*g, "_b", "_v", "_from", "_to"), [*g, "_b"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    weight = 1 - F.abs(F.col("_at") - F.col("_rank"))
+    return hit.groupBy(*by, "share").agg(F.max("n").alias("n"), F.sum(weight * F.col("_v")).alias("quantile"))
+
+
 def quantiles(df: DataFrame, *by: str, value: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """n, mean, population deviation, extremes and exact linear-interpolated quantiles of finite values."""
     x = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    qs = [F.percentile(value, q).alias(f"q{round(100 * q):02d}") for q in shares]
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), *qs)
+    m = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = exact_quantiles(x, list(by), value, shares)
+    wide = q.groupBy(*by).agg(*(F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(f"q{round(100 * s):02d}") for s in shares))
+    return m.join(wide, list(by)) if by else m.crossJoin(wide)  # one row each
 
 
 def geometric_mean(df: DataFrame, *by: str, value: str) -> DataFrame:
@@ -80,11 +109,10 @@ def permutation_null(df: DataFrame, identifier: str, x: str, y: str, draws: int,
 
 def wasserstein(df: DataFrame, by: str, side: str, value: str, steps: int = 100) -> DataFrame:
     """1-D distance of two sides (0 and 1): mean absolute difference of their quantiles at the middles of ``steps`` shares."""
-    shares = [(i + 0.5) / steps for i in range(steps)]
-    q = df.groupBy(by, side).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
-    a, b = (q.filter(F.col(side) == s).select(by, F.col("q").alias(f"q{s}")) for s in (0, 1))
-    gaps = F.zip_with("q0", "q1", lambda u, v: F.abs(u - v))
-    return a.join(b, by).select(by, (F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g) / steps).alias("distance"))
+    shares = tuple((i + 0.5) / steps for i in range(steps))
+    q = exact_quantiles(df, [by, side], value, shares)
+    a, b = (q.filter(F.col(side) == s).select(by, "share", F.col("quantile").alias(f"q{s}")) for s in (0, 1))
+    return a.join(b, [by, "share"]).groupBy(by).agg((F.sum(F.abs(F.col("q0") - F.col("q1"))) / steps).alias("distance"))
 
 
 def match_rate(ids: DataFrame, known: DataFrame, by: str) -> DataFrame:

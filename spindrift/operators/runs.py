@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def aggregate(runs: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Per configuration: rows, distinct seeds, missing values, mean and sample deviation of the metric."""
@@ -80,7 +82,7 @@ def bootstrap_mean(units: DataFrame, unit: str, value: str, draws: int, seed: in
 
     Draw b, slot s takes the unit whose rank is floor(hash("seed:b:s") * n); only sums per unit are resampled."""
     per = units.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    ranked = per.withColumn("r", F.row_number().over(W.orderBy(unit)) - 1)
+    ranked = numbered(per, F.col(unit)).withColumn("r", F.col("_r") - 1)
     n = per.agg(F.count("*").alias("n"))
     slots = units.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "slot")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)

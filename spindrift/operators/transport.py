@@ -1,4 +1,4 @@
-"""Entropic optimal transport between small groups of points, one group per task."""
+"""Entropic optimal transport between the two sides of each group, iterated as Spark jobs over blocks."""
 
 from __future__ import annotations
 
@@ -7,36 +7,87 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_table, write_table
 
-def sinkhorn(source: np.ndarray, target: np.ndarray, epsilon: float, iterations: int) -> np.ndarray:
-    """Plan with uniform margins after a fixed number of log-domain iterations; costs are divided by their median."""
-    cost = ((source[:, None] - target[None]) ** 2).sum(-1)
-    scale = np.median(cost)
-    k = -cost / ((scale if scale > 0 else 1.0) * epsilon)
-    f, g = np.zeros(len(source)), np.zeros(len(target))
+#: Points of a block: a task holds the costs between two blocks.
+BLOCK = 1024
 
-    def soft(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
-    for _ in range(iterations):
-        f = -np.log(len(source)) - soft(k + g[None], 1)
-        g = -np.log(len(target)) - soft(k + f[:, None], 0)
-    return np.exp(k + f[:, None] + g[None])
+def blocked(points: DataFrame, side: str) -> DataFrame:
+    """One row per block of a group: its points (id, vec), in no special order."""
+    x = points.filter(F.col("side") == side)
+    n = x.groupBy("grp").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    x = x.join(n, "grp").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    return x.groupBy("grp", "block", "n").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("points"))
+
+
+def meet(a: DataFrame, b: DataFrame, potential: DataFrame, scale: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` of every two blocks of a group with the potentials of the ``b`` points."""
+    known = potential.groupBy("grp", "block").agg(F.map_from_entries(F.collect_list(F.struct("id", "value"))).alias("known"))
+    left = a.select("grp", F.col("block").alias("i"), F.col("points").alias("p"), F.col("n").alias("np"))
+    right = b.join(known, ["grp", "block"]).select("grp", F.col("block").alias("j"), F.col("points").alias("q"), F.col("known"), F.col("n").alias("nq"))
+    both = left.join(right, "grp").join(scale, "grp")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                p, q = (np.array([x["vec"] for x in pts], np.float64) for pts in (r.p, r.q))
+                cost = ((p[:, None] - q[None]) ** 2).sum(-1) / r.scale
+                known_ = dict(r.known)
+                v = np.array([known_[x["id"]] for x in r.q])
+                yield kernel(r, [x["id"] for x in r.p], [x["id"] for x in r.q], cost, v)
+
+    return both.mapInPandas(run, schema)
+
 
+def sinkhorn_rows(points: DataFrame, epsilon: float = 0.1, iterations: int = 10) -> DataFrame:
+    """Per group of (grp, id, side 'a'|'b', vec): of every ``a`` point the partner that receives most of its mass in
+    the entropic plan with uniform margins, as (grp, src, dst, share). Costs are squared distances over their mean.
 
-def sinkhorn_rows(points: DataFrame, epsilon: float = 0.1, iterations: int = 200, most: int = 2000) -> DataFrame:
-    """Per group of (grp, id, side 'a'|'b', vec): the plan as (grp, src, dst, mass).
+    The potentials of both sides are tables, renewed in turn by log-sums over blocks of the other side; a round is
+    one job, its table is written to the shared folder. Groups that lack a side are left out. Memory is that of two
+    blocks; the work of a round grows with the product of the two sides."""
+    a, b = (write_table(blocked(points, s), f"transport-{s}") for s in "ab")
 
-    Groups are bounded: one with more than ``most`` points on a side raises, as the plan is dense."""
+    def zeros(x: DataFrame) -> DataFrame:
+        return x.select("grp", "block", F.explode("points").alias("x")).select("grp", "block", "x.id", F.lit(0.0).alias("value"))
+
+    def total(r, ids, others, cost, v):
+        return pd.DataFrame({"grp": [r.grp], "total": [float(cost.sum())], "n": [cost.size]})
+
+    one = points.select("grp").distinct().withColumn("scale", F.lit(1.0))
+    mean = meet(a, b, zeros(b), one, total, "grp int, total double, n long").groupBy("grp").agg((F.sum("total") / F.sum("n")).alias("m"))
+    scale = write_table(mean.select("grp", F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("scale")), "transport-scale")
+
+    def soft(r, ids, others, cost, v):
+        k = v[None] - cost / epsilon
+        top = k.max(1)
+        return pd.DataFrame({"grp": r.grp, "block": r.i, "id": ids, "top": top, "total": np.exp(k - top[:, None]).sum(1), "n": r.np})
+
+    def renewed(x: DataFrame, y: DataFrame, potential: DataFrame) -> DataFrame:
+        parts = meet(x, y, potential, scale, soft, "grp int, block int, id long, top double, total double, n long")
+        most = F.max("top")
+        best = parts.groupBy("grp", "block", "id").agg(most.alias("top"), F.max("n").alias("n"))
+        s = parts.withColumnRenamed("top", "own").join(best.drop("n"), ["grp", "block", "id"]).groupBy("grp", "block", "id").agg(F.max("top").alias("top"), F.max("n").alias("n"), F.sum(F.col("total") * F.exp(F.col("own") - F.col("top"))).alias("s"))
+        return s.select("grp", "block", "id", (-F.log(F.col("n").cast("double")) - F.col("top") - F.log("s")).alias("value"))
+
+    g, f = write_table(zeros(b), "transport-potential"), None
+    for _ in range(iterations):
+        old_f, old_g = f, g
+        f = write_table(renewed(a, b, g), "transport-potential")
+        g = write_table(renewed(b, a, f), "transport-potential")
+        for old in (old_f, old_g):
+            if old is not None:
+                drop_table(old)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (rows[rows.side == s].sort_values("id") for s in "ab")
-        if max(len(a), len(b)) > most:
-            raise ValueError(f"a group has over {most} points")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "src": [], "dst": [], "mass": []})
-        plan = sinkhorn(*(np.stack(x.vec.to_numpy()).astype(float) for x in (a, b)), epsilon, iterations)
-        return pd.DataFrame({"grp": rows.grp.iloc[0], "src": np.repeat(a.id.to_numpy(), len(b)), "dst": np.tile(b.id.to_numpy(), len(a)), "mass": plan.ravel()})
+    def best(r, ids, others, cost, v):
+        k = v[None] - cost / epsilon
+        at = k.argmax(1)
+        top = k.max(1)
+        return pd.DataFrame({"grp": r.grp, "src": ids, "dst": [others[i] for i in at], "top": top, "total": np.exp(k - top[:, None]).sum(1)})
 
-    return points.groupBy("grp").applyInPandas(run, "grp int, src long, dst long, mass double").filter(F.col("mass").isNotNull())
+    parts = meet(a, b, g, scale, best, "grp int, src long, dst long, top double, total double")
+    highest = parts.groupBy("grp", "src").agg(F.max(F.struct("top", (-F.col("dst")).alias("d"))).alias("m"))
+    shares = parts.join(highest, ["grp", "src"]).groupBy("grp", "src").agg(F.max("m").alias("m"), F.sum(F.col("total") * F.exp(F.col("top") - F.col("m.top"))).alias("s"))
+    return shares.select("grp", "src", (-F.col("m.d")).alias("dst"), (1 / F.col("s")).alias("share"))

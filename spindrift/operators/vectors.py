@@ -114,11 +114,67 @@ def mean_distances(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def energy_distance(a: DataFrame, b: DataFrame, sample_a: DataFrame, sample_b: DataFrame) -> DataFrame:
-    """2 E|a-b| - E|a-a'| - E|b-b'|, expectations over the stated query rows of each side against all rows."""
+def energy_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(2 E|a-b| - E|a-a'| - E|b-b'|) / E|b-b'|, over all pairs of rows; null where E|b-b'| is 0.
+
+    Every row of both sides asks, in blocks: the work grows with the square of the rows, memory doesn't."""
 
     def mean(q: DataFrame, c: DataFrame, name: str) -> DataFrame:
         return mean_distances(q, c).agg((F.sum("total") / F.sum("n")).alias(name))
 
-    one = mean(sample_a, b, "ab").crossJoin(mean(sample_a, a, "aa")).crossJoin(mean(sample_b, b, "bb"))  # one row each
-    return one.select((2 * F.col("ab") - F.col("aa") - F.col("bb")).alias("energy"))
+    one = mean(a, b, "ab").crossJoin(mean(a, a, "aa")).crossJoin(mean(b, b, "bb"))  # one row each
+    return one.select(((2 * F.col("ab") - F.col("aa") - F.col("bb")) / F.when(F.col("bb") > 0, F.col("bb"))).alias("energy"))
+
+
+def silhouette(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per query (id, vec, label): mean distance to the rows of its label and to the nearest other label, as
+    (other - own) / the larger; 0 for a row that is alone in its label. One partial sum per query, label and block."""
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        vs, labels = _matrix(c.vec), c.label.to_numpy()
+        known, which = np.unique(labels, return_inverse=True)
+        out = []
+        for i, v, own in zip(q.id, q.vec, q.label, strict=True):
+            dist = np.sqrt(((vs - np.asarray(v, np.float64)) ** 2).sum(1))
+            out.append(pd.DataFrame({"id": i, "label": own, "other": known, "total": np.bincount(which, dist, len(known)), "n": np.bincount(which, minlength=len(known))}))
+        return pd.concat(out, ignore_index=True)
+
+    parts = block_pairs(queries.select("id", "vec", "label"), candidates.select("id", "vec", "label"), "id", kernel, "id long, label int, other int, total double, n long")
+    s = parts.groupBy("id", "label", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
+    own = F.max(F.when((F.col("other") == F.col("label")) & (F.col("n") > 1), F.col("t") / (F.col("n") - 1)))
+    out = s.groupBy("id", "label").agg(own.alias("own"), F.min(F.when(F.col("other") != F.col("label"), F.col("t") / F.col("n"))).alias("near"))
+    return out.filter("near is not null").select("id", "label", F.when(F.col("own").isNull(), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own")).alias("silhouette"))
+
+
+def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Mutual information of two labellings, and normalised by the mean of their entropies, from contingency counts."""
+    n = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    all_ = n.agg(F.sum("n").alias("t"))
+    x = n.join(n.groupBy(a).agg(F.sum("n").alias("na")), a).join(n.groupBy(b).agg(F.sum("n").alias("nb")), b).crossJoin(F.broadcast(all_))  # one row
+    mi = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb"))))
+    # a row's share of its label's entropy: n / t * -ln(na / t), which adds up to the entropy
+    entropies = [-F.sum(F.col("n") / F.col("t") * F.log(F.col(k) / F.col("t"))) for k in ("na", "nb")]
+    one = x.agg(mi.alias("mi"), *(h.alias(f"h{i}") for i, h in enumerate(entropies)))
+    total = F.col("h0") + F.col("h1")
+    return one.select(F.col("mi").alias("mutual_information"), F.when(total > 0, 2 * F.col("mi") / total).otherwise(1.0).alias("nmi"))
+
+
+def correlations(df: DataFrame) -> DataFrame:
+    """Pearson correlations of the columns i < j of ``vec``. Every task sends one matrix of sums, whatever its rows."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, q, n = None, None, 0
+        for b in batches:
+            if len(b):
+                m = _matrix(b.vec)
+                s, q, n = (m.sum(0), m.T @ m, len(m)) if s is None else (s + m.sum(0), q + m.T @ m, n + len(m))
+        if n:
+            i, j = np.triu_indices(len(s))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "x": s[i], "y": s[j], "xy": q[i, j]})
+
+    g = df.select("vec").mapInPandas(sums, "i long, j long, n long, x double, y double, xy double")
+    g = g.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy"))).withColumn("cov", F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n"))
+    var = g.filter("i = j").select("i", "cov")
+    both = g.filter("i < j").join(var.select("i", F.col("cov").alias("vi")), "i").join(var.select(F.col("i").alias("j"), F.col("cov").alias("vj")), "j")
+    spread = F.sqrt(F.col("vi") * F.col("vj"))
+    return both.select("i", "j", F.when(spread > 1e-12, F.col("cov") / F.when(spread > 1e-12, spread)).alias("corr"))

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import effects, expressions, matrices, places, runs, streams, summaries, vectors  # noqa: F401  registers their queries
+    from . import effects, expressions, fields, links, matrices, places, populations, reports, runs, streams, summaries, vectors  # noqa: F401  registers their queries
 
 
 def queries() -> dict[str, Query]:

@@ -20,21 +20,90 @@ def test_stitching_gives_control_rows_control_edges_only(spark):
     assert {tuple(r) for r in graphs.stitched(full, control, fit).collect()} == {(3, 1, 1.0), (1, 2, 5.0), (2, 1, 5.0)}
 
 
-def test_sinkhorn_margins(spark):
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(x), int(y)) for x, y in rng.integers(0, 120, (70, 2))]
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        parent[max(find(x), find(y))] = min(find(x), find(y))
+    got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e} and len(set(got.values())) > 5
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_transport_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(transport, "BLOCK", block)
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(6, 3)), rng.normal(size=(4, 3))
-    plan = transport.sinkhorn(a, b, 0.5, 300)
-    assert np.allclose(plan.sum(0), 1 / 4, atol=1e-6) and np.allclose(plan.sum(1), 1 / 6, atol=1e-4)
-    rows = [(0, i, "ab"[i % 2], [float(i), 1.0]) for i in range(8)] + [(1, 9, "a", [0.0, 0.0])]
-    got = transport.sinkhorn_rows(spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>")).collect()
-    assert len(got) == 16 and abs(sum(r.mass for r in got) - 1) < 1e-6
-    with pytest.raises(Exception, match="points"):
-        transport.sinkhorn_rows(spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>"), most=1).collect()
+    a, b = rng.normal(size=(7, 3)), rng.normal(size=(5, 3))
+    cost = ((a[:, None] - b[None]) ** 2).sum(-1)
+    k = -cost / cost.mean() / 0.5
+    f, g = np.zeros(7), np.zeros(5)
+    soft = lambda x, axis: np.log(np.exp(x).sum(axis))
+    for _ in range(3):
+        f = -np.log(7) - soft(k + g[None], 1)
+        g = -np.log(5) - soft(k + f[:, None], 0)
+    plan = np.exp(k + f[:, None] + g[None])
+    rows = [(0, i, "a", v.tolist()) for i, v in enumerate(a)] + [(0, 100 + i, "b", v.tolist()) for i, v in enumerate(b)] + [(1, 9, "a", [0.0, 0.0, 0.0])]
+    got = transport.sinkhorn_rows(spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>"), 0.5, 3).collect()
+    assert {r.src: (r.dst - 100) for r in got} == dict(enumerate(plan.argmax(1)))
+    assert all(abs(r.share - plan[r.src].max() / plan[r.src].sum()) < 1e-9 and r.grp == 0 for r in got)
 
 
 def test_energy_distance_of_equal_sets_is_zero(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "id long, vec array<double>")
-    assert abs(vectors.energy_distance(df, df, df, df).first().energy) < 1e-9
+    assert abs(vectors.energy_distance(df, df).first().energy) < 1e-9
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "id long, vec array<double>")
+    assert vectors.energy_distance(df, same).first().energy is None
+
+
+def test_time_warping_equals_brute_force():
+    from functools import cache
+
+    from spindrift.plans.vectors import dtw
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 5), (6, 4)):
+        a, b = rng.normal(size=n), rng.normal(size=m)
+
+        @cache
+        def best(i, j):
+            step = abs(a[i] - b[j])
+            before = [best(x, y) for x, y in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x >= 0 and y >= 0]
+            return step + min(before, default=0.0)
+
+        assert abs(dtw(a, b) - best(n - 1, m - 1) / (n + m)) < 1e-12
+
+
+def test_quantiles_and_ranks_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import effects, profiles, ranks
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 5000)) for v in np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n))]
+    df = spark.createDataFrame([*rows, ("c", None), ("d", None)], "g string, v double")
+    shares = (0.0, 0.05, 0.5, 0.731, 1.0)
+    got = {(r.g, r.share): r.quantile for r in profiles.exact_quantiles(df, ["g"], "v", shares, 20).collect()}
+    for g in "abc":
+        for s in shares:
+            assert abs(got.pop((g, s)) - np.quantile([v for k, v in rows if k == g], s)) < 1e-12
+    assert not got
+    whole = ranks.numbered(df.filter("v is not null").withColumn("i", F.monotonically_increasing_id()), F.col("v"), F.col("i")).select("v", "_r").orderBy("_r").collect()
+    assert [r._r for r in whole] == list(range(1, len(rows) + 1)) and [r.v for r in whole] == sorted(v for _, v in rows)
+    p = [float(x) for x in rng.random(300) ** 3] + [None, None]
+    q = {r.i: r.q for r in effects.bh_qvalues(spark.createDataFrame(list(enumerate(p)), "i int, p double")).collect()}
+    order = sorted(range(300), key=lambda i: p[i])
+    low = 1.0
+    for k in range(300, 0, -1):
+        low = min(low, p[order[k - 1]] * 300 / k)
+        assert abs(q[order[k - 1]] - low) < 1e-12
+    assert q[300] is None and q[301] is None
 
 
 def test_streams_equal_batches_over_several_files(spark, tmp_path):
