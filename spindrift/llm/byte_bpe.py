@@ -5,7 +5,8 @@ tokens is the BPE encoding exactly if each token encodes to itself and no merge
 any adjacent pair; the distinct pairs are tested together in NumPy by walking both tokens' edges back
 through their merges. Repair: only pre-tokens with an incompatible pair are merged exactly.
 
-Null and empty texts encode to nothing. Texts are never shortened; special strings inside a text become
+Null and empty texts encode to nothing, an empty table to an empty one, repeated rows alike; columns named like a
+result are replaced, others pass through. Texts are never shortened; special strings inside a text become
 their ids, as the library does by default. Results of pre-tokens are kept per Python worker within
 ``KEEP`` entries (a memory bound, not a limit of the method).
 """

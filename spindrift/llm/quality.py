@@ -6,7 +6,8 @@ set, and ``ablation`` counts in one aggregation what each rule of a policy remov
 change without reading the texts again.
 
 Nulls and empty texts have no words: all measurements are 0 and the length rule fails. Repeated rows are
-judged one by one. Texts are never shortened. Equal windows are found by the 64-bit hash of the hashes of
+judged one by one; an empty table gives an empty ledger; columns named like a measurement are replaced. Texts are
+never shortened. Equal windows are found by the 64-bit hash of the hashes of
 their 8 words inside one text (20,000 windows of one text collide with a chance below 1e-10).
 """
 

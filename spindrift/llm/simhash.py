@@ -13,7 +13,8 @@ task ever holds more than two parts. Tasks return spanning trees of bounded degr
 components follow from minimum labels with pointer jumping, written to the shared folder each round.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and exact copies
-share one fingerprint and so one component. The component is the smallest doc_id; null ids don't count.
+share one fingerprint and so one component. An empty table gives an empty result; only doc_id and text are read, so
+other columns may have any name. The component is the smallest doc_id; null ids don't count.
 """
 
 from __future__ import annotations

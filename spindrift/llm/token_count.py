@@ -14,7 +14,8 @@ Parallel scan. A batch is cut into equal chunks, which run as lanes of one NumPy
 constant from its first word start on. Chunks run from there; then maps compose: a chunk's head runs
 from the state that the chunk before it ends in, in as many waves as there are chunks without a word start.
 
-Nulls and empty texts have no tokens. Texts are never shortened. Compiled states are kept per Python
+Nulls and empty texts have no tokens, an empty table gives an empty one, repeated rows equal counts; a column named
+like the result is replaced. Texts are never shortened. Compiled states are kept per Python
 worker and dropped, as in lazy automata, when the table exceeds ``MAX_CELLS``.
 """
 

@@ -11,6 +11,7 @@ Writers name a file after shard and attempt; only files that the index names cou
 index rows of one attempt a task. A lost executor or a second attempt therefore never mixes records.
 
 Rows are ordered by doc_id (nulls first, then by text). Null and empty texts hold the end id alone.
+Repeated rows each get a record, an empty table none; only doc_id and text are read, whatever else there is.
 """
 
 from __future__ import annotations

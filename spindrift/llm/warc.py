@@ -11,7 +11,8 @@ as a response; the others are revisits that name it, its digest and their payloa
 payload. Deduplication moves only digests and ids; payloads are shuffled once, to their writers.
 
 Null html is an empty payload. Rows with a null page_id sort last; they never stand for others unless all
-ids of a payload are null. Repeated rows each get a record. Payloads are never shortened.
+ids of a payload are null. Repeated rows each get a record, an empty table none; only
+page_id, url and html are read, whatever else there is. Payloads are never shortened.
 
 File names carry the attempt; only archives named by the index count, so lost executors and second
 attempts leave at most unused files.
