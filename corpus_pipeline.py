@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in
-the shared folder and gives it, read again, to the next stage. All but the last keep the columns of documents.
+the shared folder and gives it, read again, to the next stage. All but the last keep the columns of documents,
+whatever further columns there are and whatever their names. Every stage turns an empty table into an empty one and
+bears nulls in any column: a null or empty text has no window of toxic words, no benchmark passage, no entity and no
+token, and is a near-duplicate of other texts without words only.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ TOXIC, SIMILAR = 0.3, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose toxicity score is below ``TOXIC``; learnt from the labels of the input's documents."""
+    """Keep documents whose toxicity score is below ``TOXIC``; learnt from the labels of the input's documents.
+    Repeated rows get equal scores and stay or go together."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="__sd_score").filter(F.col("__sd_score") < TOXIC).drop("__sd_score")
 
@@ -37,19 +41,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without any window of a benchmark item."""
+    """Keep documents without any window of a benchmark item; repeated rows stay or go together."""
     got = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return got.filter(~F.col("contaminated")).select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by surrogates; n_chars follows the new text."""
+    """Replace personal data by surrogates; n_chars follows the new text, a null n_chars stays null. Every row stays."""
     out = pii.pseudonymise(docs, surrogate_key(spark), count="__sd_entities").drop("__sd_entities")
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document, one row per row; a null or empty text has none."""
     out = byte_bpe.encode(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
 
