@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD_CLASS, let, lower_ascii, words, write_table
 
+#: Columns that ``decontaminate`` adds.
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Benchmark shingles up to which their table is broadcast (about 100 bytes each); more are shuffled.
 BROADCAST_SHINGLES = 500_000
 #: Distinct texts with hits up to which their results are broadcast (about 150 bytes each); beyond, texts are shuffled to them.
@@ -95,7 +97,7 @@ def occurrences(docs: DataFrame, wins: DataFrame, key: str, text: str = "text",
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Add n_words, n_hit, n_items, items_sha256 and contaminated to every row of ``docs``."""
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    own = [c for c in docs.columns if c not in RESULTS]
     keyed = docs.select(*own, F.md5(F.coalesce(text, F.lit(""))).alias("__sd_k"))
     wins = write_table(item_windows(items, item_id, text, window), "item-windows")
     hits = write_table(occurrences(keyed, wins, "__sd_k", text), "window-hits")

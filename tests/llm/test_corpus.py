@@ -358,3 +358,34 @@ def test_more_names_than_surnames_of_four_syllables(spark, monkeypatch):
     got = [x.text for x in pii.pseudonymise(df, "k").collect()]
     assert len(set(got)) == len(names) == 256 and not any(n in t for n in names for t in got)
     assert all(re.fullmatch(r"Yesterday Mr [A-Z][a-z]+ left\.", t) for t in got)
+
+
+def test_pipeline_stages_bear_odd_rows(spark, labelled, documents, clashing, empty, tmp_path):
+    import corpus_pipeline as p
+
+    labelled[1].limit(40).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage stands in any of these texts at all"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        got = stage(spark, clashing, str(tmp_path))
+        assert got.count() > 0, name
+        if name != "token_ids":
+            assert got.schema.simpleString() == clashing.schema.simpleString(), name
+            assert name == "pii" or got.exceptAll(clashing).count() == 0, name
+    kept = p.drop_near_duplicates(spark, documents, str(tmp_path)).collect()
+    assert len({x.text for x in kept if x.doc_id is not None}) == len([x for x in kept if x.doc_id is not None])
+
+
+@pytest.mark.parametrize("name", ["op7_quality_ledger", "op8_decontamination", "op10_warc"])
+def test_registered_queries_match_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    from spindrift.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf_dir).select(*columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
