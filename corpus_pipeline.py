@@ -42,8 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without any window of a benchmark item; repeated rows stay or go together."""
-    got = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return got.filter(~F.col("contaminated")).select(docs.columns)
+    away = {c: f"__sd_{c}" for c in docs.columns if c in decontaminate.RESULTS}
+    got = decontaminate.decontaminate(docs.withColumnsRenamed(away), table(spark, sf_dir, "benchmark"))
+    return got.filter(~F.col("contaminated")).select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
