@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from .profiles import exact_quantiles
 
 
 def frequent_columns(x: DataFrame, least: int) -> DataFrame:
@@ -28,7 +29,7 @@ def centred_log_ratio(x: DataFrame, n_columns: int) -> DataFrame:
 
 def size_factor(x: DataFrame, totals: DataFrame) -> DataFrame:
     """log1p(value / max(total, 1) * median total); ``totals`` has (row, total)."""
-    median = totals.agg(F.percentile(F.greatest("total", F.lit(1.0)), 0.5).alias("median"))
+    median = exact_quantiles(totals.select(F.greatest("total", F.lit(1.0)).alias("total")), [], "total", (0.5,)).select(F.col("quantile").alias("median"))
     return x.join(totals, "row").crossJoin(F.broadcast(median)).select("row", "col", F.log1p(F.col("value") / F.greatest("total", F.lit(1.0)) * F.col("median")).alias("value"))
 
 
