@@ -32,6 +32,8 @@ KEEP, TOGETHER = 250_000, 1_000_000
 NEVER = np.int64(1) << 40
 #: Bytes up to which pre-tokens are merged side by side in a NumPy grid; longer ones use a heap.
 WIDEST = 48
+#: Pre-tokens merged side by side at a time, which bounds the grid's memory.
+GRID = 4_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -48,6 +50,7 @@ class SpeculativeBPE:
         import regex
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)  # its pre-tokenizer serves scripts whose classes vary by Unicode version
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -81,11 +84,12 @@ class SpeculativeBPE:
         spelt = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
         self.pattern = re.compile(spelt.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
         self.rare = re.compile("[^\x00-\x1b\x20-\u024f]")
-        self.library = Tokenizer.from_file(path)  # its pre-tokenizer serves scripts whose classes vary by Unicode version
+        del spec, pairs  # the parsed file is large, and building the automaton needs the room
         self.greedy = ahocorasick.Automaton()
         tokens = list(self.ids)
         short = [t for t in tokens if len(t) <= WIDEST]
         own = dict(zip(short, map(len, self.exact_many(short)), strict=True))
+        del short
         for t in tokens:
             if (own[t] if t in own else len(self.exact_long(t))) == 1:  # a token that splits is never proposed
                 self.greedy.add_word(t.decode("latin-1"), self.ids[t])
@@ -107,7 +111,7 @@ class SpeculativeBPE:
         """Exact merging of short words side by side: each round makes the best merge of every word."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         todo = np.argsort([len(w) for w in words], kind="stable")
-        for block in np.array_split(todo, max(1, len(todo) // 20_000)):
+        for block in np.array_split(todo, max(1, len(todo) // GRID)):
             if not len(block):
                 continue
             width = max(1, *(len(words[i]) for i in block[-1:]))

@@ -68,11 +68,15 @@ def pick_rows(df: DataFrame, row: str, chosen: DataFrame) -> DataFrame:
     return joined.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(df.columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, unless the user has lowered the bound already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, unless the user has lowered the bounds already.
+
+    A single row of more bytes is a batch by itself; no text is cut.
+    """
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower()
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= bound:
+            spark.conf.set(key, bound)
 
 
 def partitions(spark: SparkSession) -> int:
