@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversations, decontaminate, html_extract, merge_replay, pii, quality, simhash, token_count, token_records, toxicity, warc
+from . import byte_bpe, conversations, decontaminate, html_extract, merge_replay, pii, quality, simhash, spelling, token_count, token_records, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -91,6 +91,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.with_digests(rows, conversations.audit(rows))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), 5, 3, slip=97))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
