@@ -9,7 +9,9 @@ addresses move to reserved domains, IP addresses to the reserved class E, names
 
 Distinctness: surrogates of all distinct entities are compared in one aggregation; of several entities with
 one surrogate the smallest keeps it, the others, and any surrogate that is itself an entity of the input,
-are derived anew with the next round number until no collision is left.
+are derived anew with the next round number until no collision is left. From round ``GROW`` on a surrogate gets a digit more each
+round (a domain's name has it before the @, an IP address after a colon), so that even an entity with a single letter or digit among
+thousands of its like finds one. A run of marks without letters or digits (a blank to fill in) is no secret.
 
 Only entities and the texts that hold them are shuffled, these by a number of their row, so that copies
 of one text don't meet in one task; clean texts pass through their scan unchanged.
@@ -65,14 +67,14 @@ PATTERNS = {
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?=[0-9+(])(?:(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+(])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9]))",
     "access_key": r"\bA[KS]IA[A-Z0-9]{16}\b",
-    "secret": rf"(?<=[=:\"'\x20])(?=[A-Za-z0-9_+/-]{{8}})(?<={_SECRET})[A-Za-z0-9_+/-]{{8,}}+",
+    "secret": rf"(?<=[=:\"'\x20])(?=[A-Za-z0-9_+/-]{{8}})(?<={_SECRET})(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}}+",
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?<=\b(?:{_TITLE})\.?\x20){_NAME}(?:\x20{_NAME})?|(?<=\b(?:{_CUE})\x20)(?!(?:{_TITLE})\b){_NAME}\x20{_NAME}|(?:{_GIVEN})\x20{_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes: one look at a character's class decides nearly everywhere.
 MAYBE = rf"[0-9@=:]|(?=[A-Za-z\u0370-\u044F])(?<!\p{{L}})(?:A[KS]IA|(?:{_TITLE})\.?\x20\p{{Lu}}|(?:{_GIVEN}|{_CUE})\x20\p{{Lu}})"
-#: Rounds of collision checks; each leaves a vanishing share of the one before.
-ROUNDS = 20
+#: Rounds of collision checks after which surrogates grow by a digit a round, so that they can't be used up.
+GROW = 3
 
 
 def luhn_sum(digits: Column, doubled_from: int) -> Column:
@@ -119,9 +121,12 @@ def surrogate(t: Column, value: Column, canon: Column, gender: Column, nonce: Co
 
         return F.array_join(F.transform(chars, renew), "")
 
+    # SHA-256 has 64 hexadecimal digits; each round of growth shows one more of them, as a decimal one
+    longer = F.substr(F.translate(F.sha2(F.concat(seed, F.lit("|more")), 256), "abcdef", "012345"), F.lit(1), F.greatest(nonce - GROW, F.lit(0)))
+
     def email(h: Column) -> Column:
         host = F.concat(F.lit("mail"), F.lpad(F.conv(F.substr(h, F.lit(121), F.lit(4)), 16, 10), 5, "0"), F.lit(".example."), _pick(("com", "net", "org"), code(h, F.lit(59))))
-        return F.concat(scramble(F.substring_index(value, "@", 1), h), F.lit("@"), host)
+        return F.concat(scramble(F.substring_index(value, "@", 1), h), longer, F.lit("@"), host)
 
     def ip(h: Column) -> Column:
         return F.concat_ws(".", (code(h, F.lit(0)) % 15 + 240).cast("string"), *(code(h, F.lit(i)).cast("string") for i in (1, 2, 3)))
@@ -148,7 +153,8 @@ def surrogate(t: Column, value: Column, canon: Column, gender: Column, nonce: Co
 
     def made(h: Column) -> Column:
         fixed = F.when(t == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(scramble(value, h), F.lit(5)))).when(t == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(scramble(value, h), F.lit(3)))).when(t == "ssn", F.concat(F.lit("9"), F.substr(scramble(value, h), F.lit(2))))
-        return fixed.when(t == "email", email(h)).when(t == "ip", ip(h)).when(t == "card", card(h)).when(t == "phone", phone(h)).when(t == "name", name(h)).otherwise(scramble(value, h))
+        out = fixed.when(t == "email", email(h)).when(t == "ip", ip(h)).when(t == "card", card(h)).when(t == "phone", phone(h)).when(t == "name", name(h)).otherwise(scramble(value, h))
+        return F.when((nonce <= GROW) | t.isin("email", "name"), out).otherwise(F.concat(out, F.when(t == "ip", ":").otherwise(""), longer))
 
     return let(stream, made)
 
@@ -170,7 +176,7 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
     one = spelt.groupBy("type", "canon").agg(F.min("value").alias("value"), F.min("gender").alias("gender")).withColumn("nonce", F.lit(0))
     originals = spelt.select(F.col("canon").alias("core")).distinct().withColumn("taken", F.lit(True))
     one = last = write_table(one, "pii-entities")
-    for _ in range(ROUNDS):
+    while True:
         s = one.withColumn("core", canonical(F.col("type"), surrogate(F.col("type"), F.col("value"), F.col("canon"), F.col("gender"), F.col("nonce"), key)))
         # several entities with one surrogate: the smallest keeps it
         owner = s.groupBy("core").agg(F.min(F.struct("nonce", "type", "canon")).alias("o"))
@@ -183,8 +189,6 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
             one = judged
             break
         one = judged.withColumn("nonce", F.col("nonce") + F.col("again").cast("int")).drop("again")
-    else:
-        raise ValueError("surrogates still collide; use a longer key space")
     nonces = one.select("type", "canon", "nonce", F.col("gender").alias("g"))
     whole = spelt.join(nonces, ["type", "canon"]).withColumn("gender", F.coalesce("g", "gender"))
     return whole.select("type", "value", "canon", surrogate(F.col("type"), F.col("value"), F.col("canon"), F.col("gender"), F.col("nonce"), key).alias("surrogate"))

@@ -192,6 +192,16 @@ def test_surrogates_equal_brute_force(spark, sf_dir):
     assert len(set(of.values())) == len(of) and not set(of.values()) & set(of)
 
 
+def test_secrets_of_marks_and_of_one_letter_end_with_distinct_surrogates(spark):
+    """A blank to fill in is no secret; values with few letters or digits outnumber surrogates of their shape."""
+    few = [f"{'-' * i}{c}{'_' * (8 - i)}" for i in range(9) for c in "0123456789abAB"]
+    texts = ["Login form. password: ________ please", "token = --------", *(f"password: {v} ok" for v in few), *(f"secret: {i:08d}" for i in range(4000)), *(f"id 123-45-{i:04d}." for i in range(4000))]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[:2] == texts[:2] and len(set(got)) == len(texts)
+    assert not {x.split(": ")[-1].split(" ")[0] for x in got[2 : 2 + len(few)]} & set(few)
+    assert all(len(a) == len(b) for a, b in zip(got[-8000:], texts[-8000:]))
+
+
 def test_colliding_surrogates_are_derived_anew(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda t, v, c, g, nonce, key: F.when(nonce == 0, F.lit("same")).otherwise(real(t, v, c, g, nonce, key)))
