@@ -11,12 +11,16 @@ with, and for every start inside it the last piece and the relative count of the
 
 Parallel scan. A batch is cut into equal chunks, which run as lanes of one NumPy loop. A word start
 (a space mark after something else) puts any state into the same state, so a chunk's state map is
-constant from its first word start on. Chunks run from there; then maps compose: a chunk's head runs
-from the state that the chunk before it ends in, in as many waves as there are chunks without a word start.
+constant from its first word start on; chunks run from there. What stands before it needs the state that the chunk
+before it ends in. Where that is open (a chunk without a word start), the map is first evaluated at the state that a short run-up
+gives; then the ends are passed on along the chunks, and the maps of all chunks whose entry has changed are evaluated anew,
+together, until none changes. The entries are then exact, by induction from the first chunk; since states forget what is
+further back than a piece, one or two rounds do, however long the text without a word start is.
 
 Nulls and empty texts have no tokens, an empty table gives an empty one, repeated rows equal counts; a column named
-like the result is replaced. Texts are never shortened. Compiled states are kept per Python
-worker and dropped, as in lazy automata, when the table exceeds ``MAX_CELLS``.
+like the result is replaced. Texts are never shortened. Characters outside the vocabulary are classed by their length in UTF-8.
+The table holds the ``DENSE`` character classes met first, other transitions go to a dictionary. Both are dropped, as in
+lazy automata, even in the middle of a run, when they exceed ``MAX_CELLS`` or ``MAX_FAR``; states in use are kept.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import chunks, small_batches, text_or_empty
 
 MARK = "▁"
-#: Cells (states times character classes) of the compiled table at most; 4 bytes a cell.
-MAX_CELLS = 40_000_000
-#: Characters of a lane, and of the texts that run together.
-LANE, TOGETHER = 192, 3_000_000
+#: Cells (states times dense classes) of the compiled table at most, 4 bytes a cell; other transitions and compared pairs at most.
+MAX_CELLS, MAX_FAR, MAX_PAIRS = 25_000_000, 300_000, 500_000
+#: Character classes with a column of their own.
+DENSE = 512
+#: Characters of a lane, of its run-up, and of the texts that run together.
+LANE, RUN_UP, TOGETHER = 192, 48, 3_000_000
 
 
 class CountTransducer:
@@ -100,30 +106,51 @@ class CountTransducer:
 
     # -- states ---------------------------------------------------------------------------------
     def clear(self) -> None:
-        self.keys: list[tuple] = []
-        self.ids: dict[tuple, int] = {}
         self.class_of = np.full(0x110000, -1, np.int32)
         self.chars: list[str] = []
-        self.table = np.full((1024, 64), -1, np.int32)  # 256 * next state + 128 + change of the count
-        self.state(("", ((0, "", 0),)))  # state 0: nothing read since a reset
+        self.foreign: dict[int, int] = {}
+        self.held: list[np.ndarray] = []
+        self.forget([])
         self.mark = self.char_class(MARK)
         self.class_of[ord(" ")] = self.mark
 
+    def forget(self, used: list[np.ndarray]) -> None:
+        """Drop all states and transitions but the states in the arrays ``used``, which are renumbered in place."""
+        old = self.keys if used else []
+        self.keys: list[tuple] = []
+        self.ids: dict[tuple, int] = {}
+        self.table = np.full((1024, DENSE), -1, np.int32)  # 256 * next state + 128 + change of the count
+        self.far: dict[int, int] = {}  # the same by state * 2 ** 21 + class, for classes without a column
+        self.state(("", ((0, "", 0),)))  # state 0: nothing read since a reset
+        for a in used:
+            distinct, back = np.unique(a, return_inverse=True)
+            a[:] = np.array([self.state(old[i]) for i in distinct.tolist()], a.dtype)[back]
+        if len(self.fits) > MAX_PAIRS:
+            self.fits.clear()
+
     def state(self, key: tuple) -> int:
         if key not in self.ids:
             self.ids[key] = len(self.keys)
             self.keys.append(key)
-            if len(self.keys) > len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
         return self.ids[key]
 
+    def make_room(self, used: list[np.ndarray]) -> None:
+        """Rows for all states; what is compiled is dropped instead if it has grown too large."""
+        if len(self.keys) * DENSE > MAX_CELLS or len(self.far) > MAX_FAR:
+            self.forget(used)
+        while len(self.keys) > len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+
     def char_class(self, c: str) -> int:
         k = int(self.class_of[ord(c)])
         if k < 0:
-            k = self.class_of[ord(c)] = len(self.chars)
-            self.chars.append(c)
-            if k >= self.table.shape[1]:
-                self.table = np.hstack([self.table, np.full_like(self.table, -1)])
+            size = 0 if c in self.rank else len(c.encode("utf-8", "surrogatepass"))
+            k = self.foreign.get(size, len(self.chars))
+            if size:
+                self.foreign[size] = k
+            self.class_of[ord(c)] = k
+            if k == len(self.chars):
+                self.chars.append(c)
         return k
 
     def compile(self, state: int, k: int) -> None:
@@ -146,7 +173,19 @@ class CountTransducer:
             keep = [i for i in range(len(grown)) if grown[i:] in self.starts and i in opened]
             base = keep[0] if keep else len(grown)
             to = self.state((grown[base:], (*((i - base, opened[i][0], opened[i][1] - delta) for i in keep), (len(grown) - base, piece, 0))))
-        self.table[state, k] = 256 * to + 128 + delta
+        if k < DENSE:
+            self.table[state, k] = 256 * to + 128 + delta
+        else:
+            self.far[state << 21 | k] = 256 * to + 128 + delta
+
+    def steps(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Transitions of the states, -1 where they are not compiled yet."""
+        away = np.flatnonzero(k >= DENSE)
+        if not len(away):
+            return self.table[s, k]
+        step = self.table[s, np.minimum(k, DENSE - 1)]
+        step[away] = [self.far.get(x, -1) for x in (s[away].astype(np.int64) << 21 | k[away]).tolist()]
+        return step
 
     # -- runs -----------------------------------------------------------------------------------
     def run(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -155,21 +194,23 @@ class CountTransducer:
         live = np.flatnonzero(at < stop)
         while len(live):
             s, k = state[live], symbols[at[live]]
-            step = self.table[s, k]
+            step = self.steps(s, k)
             if (unknown := step < 0).any():
                 for pair in set(zip(s[unknown].tolist(), k[unknown].tolist(), strict=True)):
                     self.compile(*pair)
-                step = self.table[s, k]
+                step = self.steps(s, k)
             count[live] += (step & 255) - 128
             state[live] = step >> 8
             at[live] += 1
+            if len(self.keys) > len(self.table) or len(self.far) > MAX_FAR:
+                self.make_room([*self.held, state])
             live = live[at[live] < stop[live]]
         return count
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.keys) * self.table.shape[1] > MAX_CELLS:
-            self.clear()
+        self.held = []
+        self.make_room([np.zeros(1, np.int32)])
         points = [np.frombuffer((MARK + t).encode("utf-32-le", "surrogatepass") if t else b"", "<u4") for t in texts]
         flat = np.concatenate([*points, np.zeros(0, "<u4")]).astype(np.int64)
         for c in np.unique(flat[self.class_of[flat] < 0]):
@@ -192,18 +233,27 @@ class CountTransducer:
         body = np.where(first, begin, np.minimum(body, end))
         state = np.zeros(len(owner), np.int32)
         total = self.run(symbols, body, end, state)
-        # compose the maps: heads run from the state before them
-        known = body < end
+        # what stands before a chunk's first word start runs from the state before it, first from a likely one
         todo = np.flatnonzero(~first & (begin < body))
-        while len(todo):
-            ready = known[todo - 1]
-            now = todo[ready]
-            entry = state[now - 1].copy()
-            total[now] += self.run(symbols, begin[now], body[now], entry)
-            passing = ~known[now]
-            state[now[passing]] = entry[passing]
-            known[now] = True
-            todo = todo[~ready]
+        entry = np.zeros(len(todo), np.int32)
+        self.held = [state, entry]
+        through = (~first & (body == end))[todo - 1]
+        warm = np.zeros(int(through.sum()), np.int32)
+        start = begin[todo[through]]
+        self.run(symbols, np.maximum(start - RUN_UP, begin[todo[through] - nth[todo[through]]]), start, warm)
+        entry[through] = warm
+        entry[~through] = state[todo[~through] - 1]
+        heads, stale = np.zeros(len(todo), np.int64), np.arange(len(todo))
+        while len(stale):
+            now = todo[stale]
+            out = entry[stale]
+            heads[stale] = self.run(symbols, begin[now], body[now], out)
+            passing = body[now] == end[now]
+            state[now[passing]] = out[passing]
+            stale = np.flatnonzero(entry != state[todo - 1])
+            entry[stale] = state[todo[stale] - 1]
+        total[todo] += heads
+        self.held = []
         return np.bincount(owner, total, len(texts)).astype(np.int64) if len(owner) else np.zeros(len(texts), np.int64)
 
 

@@ -165,7 +165,8 @@ def held_out(doc_id) -> object:
 
 def sample(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
     """The training sample: of each label at most ``sizes`` whole texts, the first by a hash of doc_id, and of these
-    the first that together have at most ``most`` bytes. A text with several labels counts once for each distinct one.
+    the first that together have at most ``most`` bytes; texts of over a tenth of that come last, and one that is longer than
+    ``most`` is passed over. A text with several labels counts once for each distinct one.
     """
     known = labels.select("doc_id", "toxic").filter("toxic in (0, 1)").distinct().filter(~held_out("doc_id"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
@@ -174,7 +175,9 @@ def sample(docs: DataFrame, labels: DataFrame, sizes: int = SAMPLE, most: int =
     for k in (1, 0):
         ids = F.broadcast(known.filter(F.col("toxic") == k).select("doc_id").orderBy(order[0], "doc_id").limit(sizes))  # at most `sizes` numbers
         rows = docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id").distinct().orderBy(*order).limit(sizes)
-        held = rows.withColumn("upto", F.sum(F.octet_length("text")).over(W.partitionBy(F.lit(k)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        size = F.octet_length("text")
+        fits = rows.filter(size <= most)
+        held = fits.withColumn("upto", F.sum(size).over(W.partitionBy(F.lit(k)).orderBy(10 * size > most, *order).rowsBetween(W.unboundedPreceding, 0)))
         out.append([r.text for r in held.filter(F.col("upto") <= most).select("text").collect()])
     return out[0], out[1]
 

@@ -107,3 +107,35 @@ def test_offset_index_serves_shuffled_reads_and_damage_is_seen(spark, documents,
 def test_crc32c_known_value():
     c = 0xE3069283  # CRC-32C of "123456789"
     assert token_records.masked_crc32c([b"123456789"])[0] == (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def mixed_scripts(n, seed=3):
+    r = np.random.default_rng(seed)
+    spans = [(0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x61, 0x7A), (0x400, 0x4FF), (0x1F300, 0x1F600)]
+    lows, highs = np.array(spans).T
+    k = r.integers(0, len(spans), n)
+    return "".join(map(chr, r.integers(lows[k], highs[k])))
+
+
+def test_many_distinct_characters_in_bounded_memory(piece, monkeypatch):
+    """Characters outside the vocabulary share classes; the table is dropped in the middle of a run and the counts stay right."""
+    texts = [mixed_scripts(60_000), mixed_scripts(3000, 4) + " a word", "the end"]
+    want = [len(x) for x in piece.encode(texts)]
+    own = token_count.CountTransducer(PIECE)
+    assert own.count(texts).tolist() == want
+    assert own.table.nbytes <= 8 * token_count.MAX_CELLS and len(own.far) <= token_count.MAX_FAR + 20_000
+    monkeypatch.setattr(token_count, "MAX_CELLS", 1500 * token_count.DENSE)
+    monkeypatch.setattr(token_count, "MAX_FAR", 3000)
+    own = token_count.CountTransducer(PIECE)
+    assert own.count(texts).tolist() == want and own.count(texts[::-1]).tolist() == want[::-1]
+    assert len(own.table) <= 40_000
+
+
+def test_long_texts_without_a_word_start(piece, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("aeinstrhd"), 30_000)), "a" * 20_001, "ab" * 9000, "x", "日本語の文" * 3000, "no " * 500]
+    want = [len(x) for x in piece.encode(texts)]
+    assert token_count.CountTransducer(PIECE).count(texts).tolist() == want
+    monkeypatch.setattr(token_count, "RUN_UP", 1)  # bad guesses only cost rounds
+    monkeypatch.setattr(token_count, "LANE", 16)
+    assert token_count.CountTransducer(PIECE).count(texts).tolist() == want
