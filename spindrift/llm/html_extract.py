@@ -7,6 +7,9 @@ furniture by their tag, role or name (navigation, adverts, forms, comments, ...)
 only hints at furniture, whether it is a heading, and its words relative to the page's longest plain block.
 A decision tree, grown here from the blocks of the labelled pages below, keeps or drops each block.
 
+An element that looks like furniture and yet holds nearly all the plain words of its page (a form around everything, a
+``container sidebar-right``) is a wrapper and counts for nothing, unless it is named for comments, adverts or consent.
+
 The main article: ``article`` and ``main`` elements are containers; those with at least a third of the words
 of the one with most hold the main text, what stands around them in a container is near it, other containers
 (cards of further stories) are outside.
@@ -45,6 +48,8 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer copyright legal "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus reply replies respond toolbar pagination pager masthead topbar".split()
 )
+#: Parts of names that are never a wrapper of the page's text.
+NEVER_WRAPS = frozenset("comment comments disqus reply replies respond cookie cookies consent gdpr ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 PLAIN = frozenset(
     "area article articles bar block body bottom box button buttons card cards col column container content div footer form frame global group header holder icon icons inner item items js large left link links list main mobile "
     "module more news outer page panel policy post posts primary right row secondary section site slot small stories story sub text thread title top unit user view wrap wrapper".split()
@@ -137,22 +142,54 @@ def decide(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-class Block:
-    """A run of text; ``chain``: the article and main elements around it, outermost first."""
+#: A block lies in at most this many elements of furniture that are told apart; deeper ones only count.
+DEEP = 64
 
-    __slots__ = ("chain", "furniture", "heading", "hints", "linked", "text", "words")
 
-    def __init__(self, text: str, linked: int, chain: tuple[int, ...], furniture: int, hints: int, heading: bool):
-        self.text, self.linked, self.chain, self.furniture, self.hints, self.heading = text, linked, chain, furniture, hints, heading
-        self.words = text.count(" ") + 1
+class Block:
+    """A run of text; ``inside``: the elements of furniture around it, and ``chain``: the article and main elements around
+    it, each with the furniture around that; outermost first. ``furniture`` counts the former, ``settle`` takes wrappers out."""
+
+    __slots__ = ("chain", "furniture", "heading", "hints", "inside", "linked", "text", "words")
+
+    def __init__(self, text: str, linked: int, chain: tuple[tuple[int, tuple[int, ...]], ...], inside: tuple[int, ...], hints: int, heading: bool):
+        self.text, self.linked, self.chain, self.inside, self.hints, self.heading = text, linked, chain, inside, hints, heading
+        self.words, self.furniture = text.count(" ") + 1, len(inside)
+
+    @property
+    def plain(self) -> int:
+        return self.words - min(self.linked, self.words)
+
+
+def settle(found: list[Block], fixed: set[int]) -> list[Block]:
+    """Take wrappers out of the furniture: elements, not ``fixed``, with over half of the plain words outside ``fixed`` ones
+    and ten times those that stand in no furniture. Containers in what remains furniture don't count."""
+    wrappers: set[int] = set()
+    open_ = [b for b in found if fixed.isdisjoint(b.inside)]
+    total = sum(b.plain for b in open_)
+    while True:
+        free, own = 0, Counter()
+        for b in open_:
+            left = [e for e in b.inside if e not in wrappers]
+            free += 0 if left else b.plain
+            for e in left:
+                own[e] += b.plain
+        more = {e for e, n in own.items() if 2 * n > total and n >= 10 * free}
+        if not more:
+            break
+        wrappers |= more
+    for b in found:
+        b.furniture = sum(e not in wrappers for e in b.inside)
+        b.chain = tuple(c for c, inside in b.chain if wrappers.issuperset(inside))
+    return found
 
 
-def marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether its name only hints at it."""
+def marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, whether its name only hints at it, and whether it can't be a wrapper."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True, False
+        return True, False, tag in ("dialog", "footer", "menu") or any(p in NEVER_WRAPS for p in map(str.lower, PART.findall(attributes)))
     if not attributes.strip() or tag in ("html", "body", "article", "main") and "hidden" not in attributes:
-        return False, False
+        return False, False, False
     hint = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -161,13 +198,13 @@ def marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 parts = {p.lower() for p in PART.findall(token) if not p.isdigit()}
                 if parts & NAMES:
                     if parts <= NAMES | PLAIN:
-                        return True, False
+                        return True, False, bool(parts & NEVER_WRAPS)
                     hint = True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
-    return False, hint
+            return True, False, True
+    return False, hint, False
 
 
 class Tokens:
@@ -236,23 +273,25 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple]] = []  # tag, state outside the element
     in_blocks: list[int] = []  # places in the stack of block elements
     opened: Counter[str] = Counter()
-    furniture, hints, silent, heading = 0, 0, 0, False
-    chain: tuple[int, ...] = ()
-    containers, link = 0, -1  # link: elements open where the link began
+    inside: tuple[int, ...] = ()
+    hints, silent, heading = 0, 0, False
+    chain: tuple[tuple[int, tuple[int, ...]], ...] = ()
+    fixed: set[int] = set()
+    containers, marked, link = 0, 0, -1  # link: elements open where the link began
     pieces: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, len("".join(linked).split()), chain, furniture, hints, heading))
+            out.append(Block(text, len("".join(linked).split()), chain, inside, hints, heading))
         pieces.clear()
         linked.clear()
 
     def unwind(n: int) -> None:
-        nonlocal furniture, hints, silent, heading, chain, link
+        nonlocal inside, hints, silent, heading, chain, link
         flush()
-        furniture, hints, silent, heading, chain = stack[n][1]
+        inside, hints, silent, heading, chain = stack[n][1]
         opened.subtract(t for t, _ in stack[n:])
         del stack[n:]
         while in_blocks and in_blocks[-1] >= n:
@@ -299,7 +338,7 @@ def blocks(page: str) -> list[Block]:
                         break
                 if tag == "body" and stack and stack[-1][0] == "head":
                     unwind(len(stack) - 1)
-            sure, hint = marks(tag, attributes, bool(chain))
+            sure, hint, never = marks(tag, attributes, bool(chain))
             if tag in BLOCK or tag in SILENT or sure or hint:
                 if attributes.rstrip().endswith("/") and tag not in BLOCK:
                     continue
@@ -307,15 +346,20 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 if tag in BLOCK:
                     in_blocks.append(len(stack))
-                stack.append((tag, (furniture, hints, silent, heading, chain)))
+                stack.append((tag, (inside, hints, silent, heading, chain)))
                 opened[tag] += 1
-                furniture, hints, silent = furniture + sure, hints + hint, silent + (tag in SILENT)
+                hints, silent = hints + hint, silent + (tag in SILENT)
+                if sure and len(inside) < DEEP:
+                    inside = (*inside, marked)
+                    marked += 1
+                    if never:
+                        fixed.add(inside[-1])
                 heading = heading or tag in HEADINGS
-                if tag in ("article", "main") and not furniture and len(chain) < 64:
-                    chain = (*chain, containers)
+                if tag in ("article", "main") and len(chain) < DEEP:
+                    chain = (*chain, (containers, inside))
                     containers += 1
     flush()
-    return out
+    return settle(out, fixed)
 
 
 def places(found: list[Block]) -> list[int]:

@@ -41,7 +41,37 @@ def test_known_pages(page, text):
     assert html_extract.extract(page, TREE) == text
 
 
-@pytest.mark.parametrize("piece", ['<a b="', "<a '>'", "<div>", "<span class=ad>", "<!--", "</script", "<p><article>", "<li><span class=ad>", "</p>"])
+STORY = "<h1>A title here</h1><p>" + LONG * 2 + "</p><p>Another " + LONG + "</p>"
+TOLD = "A title here\n\n" + (LONG * 2).strip() + "\n\nAnother " + LONG.strip()
+AROUND = "<nav><a href=1>Home</a> <a href=2>News</a></nav>{}<footer>Imprint and rights</footer>"
+
+
+@pytest.mark.parametrize("story", [STORY, f"<article>{STORY}</article>", f"<main><article>{STORY}</article></main>"])
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<form id=aspnetForm>{}</form>",
+        "<div class='container sidebar-right'>{}</div>",
+        "<div class='main sidebar-left'>{}</div>",
+        "<div id=content class='search-page'>{}</div>",
+        "<form id=f><div class='page menu-left'><div class='widget'>{}</div><div class=sidebar>A few side words</div></div></form>",
+        "<form>{}</form><div class=comments><p>" + LONG * 9 + "</p></div>",
+    ],
+)
+def test_wrappers_of_the_page_are_no_furniture(wrapper, story):
+    """A form around everything and names of layouts lose no text; what is furniture inside and beside them still goes."""
+    for page in (wrapper, AROUND.replace("{}", wrapper), "<html><body>" + wrapper + "</body></html>"):
+        assert html_extract.extract(page.replace("{}", story), TREE) == TOLD
+
+
+def test_furniture_that_outweighs_the_text_stays_furniture():
+    comments = "<section class=comments><p>" + LONG * 20 + "</p></section>"
+    assert html_extract.extract(f"<article>{STORY}</article>{comments}", TREE) == TOLD
+    assert html_extract.extract(f"<article><h1>Hi you</h1><p>Few words here</p></article>{comments}", TREE) == "Hi you\n\nFew words here"
+    assert html_extract.extract(f"<div class=cookie-consent><p>{LONG * 9}</p></div><article>{STORY}</article><aside>{LONG}</aside>", TREE) == TOLD
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<a '>'", "<div>", "<span class=ad>", "<!--", "</script", "<p><article>", "<li><span class=ad>", "</p>", "<form>x ", "<form><article>x "])
 def test_broken_pages_take_linear_time(piece):
     import time
 
