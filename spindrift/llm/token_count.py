@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import chunks, small_batches, text_or_empty
 
 MARK = "▁"
-#: Cells (states times dense classes) of the compiled table at most, 4 bytes a cell; other transitions and compared pairs at most.
-MAX_CELLS, MAX_FAR, MAX_PAIRS = 25_000_000, 300_000, 500_000
-#: Character classes with a column of their own.
+#: Cells (states times columns) of the compiled table at most, 4 bytes a cell; other transitions and compared pairs at most.
+MAX_CELLS, MAX_FAR, MAX_PAIRS = 40_000_000, 300_000, 500_000
+#: Character classes with a column of their own at most; the table has as many columns as the classes met, up to a power of two.
 DENSE = 512
 #: Characters of a lane, of its run-up, and of the texts that run together.
 LANE, RUN_UP, TOGETHER = 192, 48, 3_000_000
@@ -119,7 +119,8 @@ class CountTransducer:
         old = self.keys if used else []
         self.keys: list[tuple] = []
         self.ids: dict[tuple, int] = {}
-        self.table = np.full((1024, DENSE), -1, np.int32)  # 256 * next state + 128 + change of the count
+        width = min(DENSE, max(64, 1 << (len(self.chars) - 1).bit_length())) if self.chars else 64
+        self.table = np.full((1024, width), -1, np.int32)  # 256 * next state + 128 + change of the count
         self.far: dict[int, int] = {}  # the same by state * 2 ** 21 + class, for classes without a column
         self.state(("", ((0, "", 0),)))  # state 0: nothing read since a reset
         for a in used:
@@ -135,8 +136,10 @@ class CountTransducer:
         return self.ids[key]
 
     def make_room(self, used: list[np.ndarray]) -> None:
-        """Rows for all states; what is compiled is dropped instead if it has grown too large."""
-        if len(self.keys) * DENSE > MAX_CELLS or len(self.far) > MAX_FAR:
+        """Rows for all states and columns for all dense classes; what is compiled is dropped instead if it has grown too large."""
+        while self.table.shape[1] < min(DENSE, len(self.chars)):
+            self.table = np.hstack([self.table, np.full_like(self.table, -1)])
+        if len(self.keys) * self.table.shape[1] > MAX_CELLS or len(self.far) > MAX_FAR:
             self.forget(used)
         while len(self.keys) > len(self.table):
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
@@ -210,11 +213,11 @@ class CountTransducer:
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         self.held = []
-        self.make_room([np.zeros(1, np.int32)])
         points = [np.frombuffer((MARK + t).encode("utf-32-le", "surrogatepass") if t else b"", "<u4") for t in texts]
         flat = np.concatenate([*points, np.zeros(0, "<u4")]).astype(np.int64)
         for c in np.unique(flat[self.class_of[flat] < 0]):
             self.char_class(chr(int(c)))
+        self.make_room([np.zeros(1, np.int32)])
         symbols = self.class_of[flat]
         sizes = np.array([len(p) for p in points], np.int64)
         lanes = -(-sizes // LANE)

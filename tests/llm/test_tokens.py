@@ -124,7 +124,7 @@ def test_many_distinct_characters_in_bounded_memory(piece, monkeypatch):
     own = token_count.CountTransducer(PIECE)
     assert own.count(texts).tolist() == want
     assert own.table.nbytes <= 8 * token_count.MAX_CELLS and len(own.far) <= token_count.MAX_FAR + 20_000
-    monkeypatch.setattr(token_count, "MAX_CELLS", 1500 * token_count.DENSE)
+    monkeypatch.setattr(token_count, "MAX_CELLS", 3000 * 64)
     monkeypatch.setattr(token_count, "MAX_FAR", 3000)
     own = token_count.CountTransducer(PIECE)
     assert own.count(texts).tolist() == want and own.count(texts[::-1]).tolist() == want[::-1]
