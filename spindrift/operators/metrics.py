@@ -11,9 +11,10 @@ from ..functions.stats import average_rank, pearson, ratio
 def metric_suite(df: DataFrame, *by: str, predicted: str = "predicted", observed: str = "observed") -> DataFrame:
     """n, Spearman, Pearson, MAE, NRMSE (over the population deviation of observed) and sign accuracy per group.
 
-    Rows with a null side don't count; groups of fewer than three rows and constant sides give nulls.
+    Rows with a side that is null, NaN or infinite don't count; groups of fewer than three rows and constant sides give nulls.
     """
-    x = df.filter(F.col(predicted).isNotNull() & F.col(observed).isNotNull()).withColumns({"_p": F.col(predicted), "_o": F.col(observed)})
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")  # noqa: E731  NaN is above infinity
+    x = df.filter(finite(predicted) & finite(observed)).withColumns({"_p": F.col(predicted), "_o": F.col(observed)})
     x = x.withColumns({"_rp": average_rank("_p", *by), "_ro": average_rank("_o", *by)})
     err = F.col("_p") - F.col("_o")
     enough = F.count("*") >= 3

@@ -26,3 +26,15 @@ def interval(df: DataFrame, value: str) -> DataFrame:
     """Count, mean and 2.5 and 97.5 percentiles of one value per draw; null draws don't count."""
     x = df.filter(F.col(value).isNotNull())
     return x.agg(F.count(value).alias("draws"), F.avg(value).alias("mean"), F.percentile(value, 0.025).alias("lower"), F.percentile(value, 0.975).alias("upper"))
+
+
+def permuted(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """(b, key, other): in draws b = 1.. a random permutation of the rows of ``df``, one row each per key.
+
+    Draw b sets the rows in order of key beside the rows in order of md5("seed:b:key"). Rows times draws are numbered by ranges."""
+    ids = df.select(key)
+    base = numbered(ids, F.col(key)).select(F.col("_r").alias("_at"), key)
+    n = ids.agg(F.count("*").alias("_n"))
+    all_ = ids.crossJoin(df.sparkSession.range(1, draws + 1).withColumnRenamed("id", "b")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "b", key)))
+    mixed = numbered(all_, F.col("b"), F.col("_h"), F.col(key)).crossJoin(F.broadcast(n))  # one row
+    return mixed.select("b", F.col(key).alias("other"), (F.col("_r") - (F.col("b") - 1) * F.col("_n")).alias("_at")).join(base, "_at").select("b", key, "other")

@@ -56,13 +56,15 @@ def duplicate_arms(runs: DataFrame, arm: str, pair: list[str], metric: str, tole
     return both.filter((F.col("n") >= least) & (F.col("gap") < tolerance))
 
 
-def settling_point(df: DataFrame, key: str, step: str, value: str, tolerance: float) -> DataFrame:
-    """First step from which a series stays within ``tolerance`` of its last value."""
-    last = df.groupBy(key).agg(F.max_by(value, step).alias("_end"), F.max(step).alias("_last"))
-    x = df.join(last, key).withColumn("_out", F.abs(F.col(value) - F.col("_end")) > tolerance)
-    bad = x.groupBy(key).agg(F.max(F.when(F.col("_out"), F.col(step))).alias("_bad"), F.min(step).alias("_first"))
-    after = x.join(bad, key).filter(F.col("_bad").isNull() | (F.col(step) > F.col("_bad")))
-    return after.groupBy(key).agg(F.min(step).alias("settled"))
+def settling_point(df: DataFrame, key: str, step: str, value: str, tolerance: float = 0.5) -> DataFrame:
+    """First step after which a series stays within ``tolerance`` of its last value, relative to that. Null for fewer
+    than three points and for a last value that is not a positive, finite number."""
+    last = df.groupBy(key).agg(F.max_by(value, step).alias("_end"), F.count("*").alias("_n"))
+    x = df.join(last, key).withColumn("_out", ~(F.abs(F.col(value) - F.col("_end")) <= tolerance * F.col("_end")))
+    bad = x.groupBy(key).agg(F.max(F.when(F.coalesce("_out", F.lit(True)), F.col(step))).alias("_bad"))
+    sound = (F.col("_n") >= 3) & (F.col("_end") > 0) & (F.col("_end") < float("inf"))
+    after = sound & (F.col("_bad").isNull() | (F.col(step) > F.col("_bad")))
+    return x.join(bad, key).groupBy(key).agg(F.min(F.when(after, F.col(step))).alias("settled"))
 
 
 def ecdf(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,11 +5,14 @@ As in ``vectors``: modality 1 = first half, partner = id plus half, searches ask
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson, ratio
-from ..operators import graphs, profiles, vectors
+from ..operators import graphs, index, profiles, resampling, vectors
 from .registry import query
 from .vectors import HALF, LONG, NEAR, PAIR, fos, long_pairs, near, pairs, rows
 
@@ -119,20 +122,46 @@ def vec_gauge(spark: SparkSession, d: str) -> DataFrame:
     return x.crossJoin(F.broadcast(g)).select("id", (F.col("na") / F.col("g")).alias("speed"))  # g: one row
 
 
-@query(f"WITH {NORMS}, m AS (SELECT quantile_cont(na, 0.95) AS cap FROM nr WHERE grp < 5) SELECT id, round(CASE WHEN na > cap THEN (cap / na) ^ 2 ELSE 1 END, 6) AS reliability FROM nr, m")
+@query(f"WITH {NORMS}, m AS (SELECT greatest(quantile_cont(na, 0.95), 1e-12) AS cap FROM nr WHERE grp < 5 AND na > 0) SELECT id, round(CASE WHEN na = 0 OR cap IS NULL THEN 0 WHEN na > cap THEN (cap / na) ^ 2 ELSE 1 END, 6) AS reliability FROM nr, m")
 def vec_speed_reliability(spark: SparkSession, d: str) -> DataFrame:
-    """AGG103: (cap / length) squared beyond the 95th percentile of the fitted rows, else 1."""
-    x = norms(spark, d)
-    cap = profiles.exact_quantiles(x.filter("grp < 5").select(F.col("na").alias("value")), [], "value", (0.95,)).select(F.col("quantile").alias("cap"))
-    return x.crossJoin(F.broadcast(cap)).select("id", F.when(F.col("na") > F.col("cap"), (F.col("cap") / F.col("na")) ** 2).otherwise(1.0).alias("reliability"))
+    """AGG103: (cap / length) squared beyond the 95th percentile of the fitted rows that have a length, else 1; 0 for rows without."""
+    return reliability(norms(spark, d))
+
+
+def reliability(x: DataFrame) -> DataFrame:
+    """(id, reliability) of (id, grp, na); fitted rows are those of a group below 5."""
+    fitted = x.filter("grp < 5 and na > 0").select(F.col("na").alias("value"))
+    cap = profiles.exact_quantiles(fitted, [], "value", (0.95,)).agg(F.greatest(F.max("quantile"), F.lit(1e-12)).alias("cap"), F.count("*").alias("fits"))
+    value = F.when((F.col("na") == 0) | (F.col("fits") == 0), 0.0).when(F.col("na") > F.col("cap"), (F.col("cap") / F.col("na")) ** 2).otherwise(1.0)
+    return x.crossJoin(F.broadcast(cap)).select("id", value.alias("reliability"))  # cap: one row
+
+
+#: Rows of a group whose pairs ``vec_mean_direction_share`` compares: the first by a hash of the id.
+PROBE = 2000
 
 
-@query(f"WITH {PAIR}, u AS (SELECT grp, unnest(range(0, 64)) AS dim, unnest(list_transform(a, lambda x: x / sqrt(list_inner_product(a, a)))) AS x FROM pr), m AS (SELECT grp, dim, avg(x) AS m FROM u GROUP BY ALL) SELECT grp, round(sum(m * m), 6) AS energy_share FROM m GROUP BY grp")
+@query(f"""WITH {PAIR}, lg AS (SELECT id, grp, unnest(range(0, 64)) AS dim, unnest(a) AS x FROM pr), m AS (SELECT grp, dim, sum((x - mean) ^ 2) AS c, sum(x * x) AS t FROM (SELECT *, avg(x) OVER (PARTITION BY grp, dim) AS mean FROM lg) GROUP BY ALL),
+en AS (SELECT grp, 1 - sum(c) / sum(t) AS share FROM m GROUP BY grp), p AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5(id::VARCHAR), id) <= 2000),
+c AS (SELECT x.grp, quantile_cont(list_cosine_similarity(x.a, y.a), 0.5) AS median FROM p x JOIN p y ON x.grp = y.grp AND x.id <> y.id GROUP BY x.grp)
+SELECT grp, round(share, 6) + 0.0 AS energy_share, round(median, 6) + 0.0 AS pairwise_cosine FROM en JOIN c USING (grp)""")
 def vec_mean_direction_share(spark: SparkSession, d: str) -> DataFrame:
-    """AGG102: energy share of the mean direction among unit vectors."""
-    x = both(spark, d).select("grp", F.posexplode("a").alias("dim", "v"), F.sqrt(dot(F.col("a"), F.col("a"))).alias("len"))
-    m = x.filter("len > 0").groupBy("grp", "dim").agg(F.avg(F.col("v") / F.col("len")).alias("m"))
-    return m.groupBy("grp").agg(F.sum(F.col("m") * F.col("m")).alias("energy_share"))
+    """AGG102: the share of the raw vectors' energy that lies in their mean, and the median cosine of the pairs of a
+    bounded probe; groups of one row are left out."""
+    x = both(spark, d)
+    lg = x.select("grp", F.posexplode("a").alias("dim", "x"))
+    sums = lg.groupBy("grp", "dim").agg((F.var_pop("x") * F.count("x")).alias("c"), F.sum(F.col("x") * F.col("x")).alias("t"))
+    energy = sums.groupBy("grp").agg((1 - F.sum("c") / F.sum("t")).alias("energy_share"))
+    order = W.partitionBy("grp").orderBy(F.md5(F.col("id").cast("string")), "id")
+    probe = x.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROBE)
+
+    def median(g: pd.DataFrame) -> pd.DataFrame:  # at most PROBE rows
+        v = np.stack(g.a.to_numpy()).astype(float)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        c = (v @ v.T)[~np.eye(len(v), dtype=bool)]
+        return pd.DataFrame({"grp": g.grp[:1], "pairwise_cosine": [float(np.median(c)) if len(c) else None]})
+
+    pairwise = probe.select("grp", "a").groupBy("grp").applyInPandas(median, "grp int, pairwise_cosine double")
+    return energy.join(pairwise.filter("pairwise_cosine is not null"), "grp")
 
 
 @query(f"WITH {LONG}, s AS (SELECT dim, stddev_pop(predicted) AS s, max(predicted) - min(predicted) AS span FROM lg GROUP BY dim) SELECT round(max(s), 6) AS spread, max(s) < 1e-8 AS collapsed, round(avg((span < 0.001)::INT), 6) AS constant_share FROM s")
@@ -228,15 +257,19 @@ def vec_mixing_mean(spark: SparkSession, d: str) -> DataFrame:
     return vectors.inverse_simpson(n, modality).agg(F.count("*").alias("n"), F.avg("ilisi").alias("mixing"))
 
 
-@query(f"""{NEAR.replace('WITH ', 'WITH RECURSIVE ', 1)}, ed AS (SELECT nn.id AS src, neighbour AS dst FROM nn JOIN e ON e.id = nn.id WHERE e.label = nl), b AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+@query(f"""WITH RECURSIVE {HALF}, big AS (SELECT label FROM e GROUP BY label HAVING count(*) > 10), dd AS (SELECT q.id, c.id AS neighbour, q.label, round(list_distance(q.v, c.v), 12) AS dist FROM e q JOIN big USING (label) JOIN e c ON q.label = c.label AND q.id <> c.id),
+ed AS (SELECT id AS src, neighbour AS dst FROM dd QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, neighbour) <= 10), b AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
 r(node, comp) AS (SELECT src, src FROM b UNION SELECT b.dst, r.comp FROM r JOIN b ON r.node = b.src), m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node),
 c AS (SELECT label, comp, count(*) AS n FROM m JOIN e ON e.id = m.node GROUP BY ALL) SELECT label, sum(n)::BIGINT AS nodes, round(max(n) / sum(n), 6) AS largest_share FROM c GROUP BY label""")
 def vec_label_connectivity(spark: SparkSession, d: str) -> DataFrame:
-    """VEC11: of the nodes of each label in the neighbour graph, the share of the largest component of links inside the label."""
-    lab = rows(spark, d).select("id", "label")
-    e = near(spark, d).join(lab, "id").join(lab.select(F.col("id").alias("neighbour"), F.col("label").alias("nl")), "neighbour").filter("label = nl")
-    comp = graphs.components(e.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")))
-    n = comp.join(lab.withColumnRenamed("id", "node"), "node").groupBy("label", "component").count()
+    """VEC11: for each label with more than ten rows, the share of its largest component in the graph of all its rows'
+    ten nearest others inside the label. All rows ask; a label's pairs of tiles are dealt over tasks."""
+    x = rows(spark, d).select("id", "vec", F.col("label").alias("lst"))
+    big = x.groupBy("lst").count().filter("count > 10").select("lst")
+    x = x.join(big, "lst").select("id", "vec", "lst")
+    near_ = index.nearest_in_lists(x, x, 10)
+    comp = graphs.components(near_.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")))
+    n = comp.join(x.select(F.col("id").alias("node"), F.col("lst").alias("label")), "node").groupBy("label", "component").count()
     return n.groupBy("label").agg(F.sum("count").alias("nodes"), (F.max("count") / F.sum("count")).alias("largest_share"))
 
 
@@ -264,46 +297,86 @@ def vec_neighbour_mean(spark: SparkSession, d: str) -> DataFrame:
     return near(spark, d).select("id", "neighbour").join(lg, "neighbour").groupBy("id", F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-@query(f"{NEAR} SELECT nn.id, round(avg(list_cosine_similarity(x.v, y.v)), 6) + 0.0 AS coherence FROM nn JOIN e x ON x.id = nn.id JOIN e y ON y.id = nn.neighbour GROUP BY nn.id")
+#: Vectors less the mean of their column, over all rows of ``{0}`` (id, v).
+LESS_MEAN = "SELECT id, list(x - mean ORDER BY dim) AS v FROM (SELECT id, dim, x, avg(x) OVER (PARTITION BY dim) AS mean FROM (SELECT id, unnest(range(0, 64)) AS dim, unnest(v) AS x FROM {0})) GROUP BY id"
+MEANS = "SELECT id, list(x ORDER BY dim) AS v FROM (SELECT id, dim, avg(x) AS x FROM (SELECT o.id, unnest(range(0, 64)) AS dim, unnest(e.v) AS x FROM {0} o JOIN e ON e.id = o.neighbour) GROUP BY ALL) GROUP BY id"
+
+
+@query(f"""{NEAR}, l AS ({MEANS.format('nn')}), n AS (SELECT count(*) AS n FROM e), far AS (SELECT id, floor(('0x' || substr(md5('31:' || id || ':' || k), 1, 13))::BIGINT / 4503599627370496.0 * n)::BIGINT AS neighbour FROM q, n, range(1, 11) AS g(k)), f AS ({MEANS.format('far')}),
+ce AS ({LESS_MEAN.format('e')}), cl AS ({LESS_MEAN.format('l')}), cf AS ({LESS_MEAN.format('f')}) SELECT (SELECT round(quantile_cont(list_cosine_similarity(e.v, l.v), 0.5), 6) + 0.0 FROM e JOIN l USING (id)) AS neighbour_cosine,
+(SELECT round(quantile_cont(list_cosine_similarity(ce.v, cl.v), 0.5), 6) + 0.0 FROM ce JOIN cl USING (id)) AS centred_cosine, (SELECT round(quantile_cont(list_cosine_similarity(ce.v, cf.v), 0.5), 6) + 0.0 FROM ce JOIN cf USING (id)) AS random_cosine""")
 def vec_neighbour_coherence(spark: SparkSession, d: str) -> DataFrame:
-    """VEC17, W23: mean cosine of a row with its ten nearest others."""
+    """VEC17: medians, over the query rows, of the cosine of a row with the mean of its ten nearest others: as it is, with
+    both sides less their means, and the latter with ten rows drawn at random instead. Ids run from 0 without gaps."""
     v = rows(spark, d).select("id", doubles("vec").alias("v"))
-    x = near(spark, d).select("id", "neighbour").join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")
-    return x.groupBy("id").agg(F.avg(cosine(F.col("v"), F.col("w"))).alias("coherence"))
+    n = v.agg(F.count("*").alias("n"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("31"), "id", "k")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
+    far = v.filter("id % 20 = 0").select("id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k")).crossJoin(F.broadcast(n)).select("id", F.floor(draw * F.col("n")).alias("neighbour"))  # n: one row
+    near_mean, far_mean = mean_of(near(spark, d), v), mean_of(far, v)
+    plain = v.join(near_mean.withColumnRenamed("v", "w"), "id")
+    centred_ = [less_mean(v).join(less_mean(m).withColumnRenamed("v", "w"), "id") for m in (near_mean, far_mean)]
+    out = None
+    for x, name in ((plain, "neighbour_cosine"), (centred_[0], "centred_cosine"), (centred_[1], "random_cosine")):
+        c = profiles.exact_quantiles(x.select(cosine(F.col("v"), F.col("w")).alias("value")), [], "value", (0.5,)).select(F.col("quantile").alias(name))
+        out = c if out is None else out.crossJoin(c)  # one row each
+    return out
+
+
+def packed_up(lg: DataFrame) -> DataFrame:
+    """(id, v) of (id, dim, x)."""
+    return lg.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("v"))
+
+
+def mean_of(links: DataFrame, v: DataFrame) -> DataFrame:
+    """(id, v): mean vector of each row's neighbours."""
+    lg = links.select("id", "neighbour").join(v.select(F.col("id").alias("neighbour"), F.posexplode("v").alias("dim", "x")), "neighbour")
+    return packed_up(lg.groupBy("id", "dim").agg(F.avg("x").alias("x")))
 
 
-@query(f"{NEAR}, w AS (SELECT nn.id, e.label, 1 / greatest(dist, 1e-6) AS w FROM nn JOIN e ON e.id = nn.neighbour) SELECT id, round(sum(w * label) / sum(w), 6) AS value FROM w GROUP BY id")
+def less_mean(v: DataFrame) -> DataFrame:
+    """(id, v): vectors less the mean vector of all rows."""
+    lg = v.select("id", F.posexplode("v").alias("dim", "x"))
+    m = lg.groupBy("dim").agg(F.avg("x").alias("mean"))
+    mean = m.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s.mean).alias("mean"))  # one row
+    return v.crossJoin(F.broadcast(mean)).select("id", F.zip_with("v", "mean", lambda a, b: a - b).alias("v"))
+
+
+@query(f"{NEAR}, w AS (SELECT nn.id, e.label, 1 / greatest(dist, 1e-8) AS w FROM nn JOIN e ON e.id = nn.neighbour) SELECT id, round(sum(w * label) / sum(w), 6) AS value FROM w GROUP BY id")
 def vec_interpolated(spark: SparkSession, d: str) -> DataFrame:
     """Inverse-distance weighted mean of the neighbours' values."""
-    x = near(spark, d).join(rows(spark, d).select(F.col("id").alias("neighbour"), "label"), "neighbour").withColumn("w", 1 / F.greatest("distance", F.lit(1e-6)))
+    x = near(spark, d).join(rows(spark, d).select(F.col("id").alias("neighbour"), "label"), "neighbour").withColumn("w", 1 / F.greatest("distance", F.lit(1e-8)))
     return x.groupBy("id").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("value"))
 
 
-@query(f"WITH {PAIR}, n AS (SELECT count(*) AS n FROM pr), p2 AS (SELECT x.id, x.a, y.b, x.grp FROM pr x JOIN n ON true JOIN pr y ON y.id = (x.id + 7) % n), q AS (SELECT * FROM p2 WHERE id % 20 = 0), s AS (SELECT q.id, count_if(list_distance(q.a, c.b) < list_distance(q.a, q.b) - 1e-12) AS closer, count(*) AS n FROM q, p2 c GROUP BY q.id) SELECT round(avg(closer / (n - 1)), 6) AS floor FROM s")
+#: Random permutations of the pairs, {0} - 1 draws with seed {1}.
+PERMUTED = "pm AS (SELECT x.b, x.id, y.id AS other FROM (SELECT k AS b, id, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM pr, range(1, {0}) AS g(k)) x JOIN (SELECT k AS b, id, row_number() OVER (PARTITION BY k ORDER BY md5('{1}:' || k || ':' || id), id) AS r FROM pr, range(1, {0}) AS g(k)) y ON x.b = y.b AND x.r = y.r)"
+
+
+@query(f"WITH {PAIR}, {PERMUTED.format(2, 32)}, p2 AS (SELECT x.id, x.a, y.b, x.grp FROM pr x JOIN pm USING (id) JOIN pr y ON y.id = pm.other), q AS (SELECT * FROM p2 WHERE id % 20 = 0), s AS (SELECT q.id, count_if(list_distance(q.a, c.b) < list_distance(q.a, q.b) - 1e-12) AS closer, count(*) AS n FROM q, p2 c GROUP BY q.id) SELECT round(avg(closer / (n - 1)), 6) AS floor FROM s")
 def vec_pairing_floor(spark: SparkSession, d: str) -> DataFrame:
-    """BS8: the measure of ``vec_foscttm`` under a wrong pairing (every row with the seventh partner on)."""
+    """BS8: the measure of ``vec_foscttm`` under a random pairing."""
     p = pairs(spark, d)
-    n = p.count()
-    moved = p.select(((F.col("id") + n - 7 % n) % n).alias("id"), "b")
-    x = p.select("id", "a").join(moved, "id").withColumn("grp", F.lit(0))
+    partners = resampling.permuted(p, "id", 1, 32).select("id", "other").join(p.select(F.col("id").alias("other"), "b"), "other").select("id", "b")
+    x = p.select("id", "a").join(partners, "id").withColumn("grp", F.lit(0))
     return vectors.foscttm(x.filter("id % 20 = 0"), x).agg(F.avg("foscttm").alias("floor"))
 
 
-@query(f"WITH {PAIR}, n AS (SELECT count(*) AS n FROM pr), c AS (SELECT k, avg(list_cosine_similarity(x.a, y.b)) AS c FROM pr x JOIN n ON true CROSS JOIN range(1, 21) AS g(k) JOIN pr y ON y.id = (x.id + 3 * k) % n GROUP BY k) SELECT count(*) AS draws, round(quantile_cont(c, 0.5), 6) + 0.0 AS null_median, round(quantile_cont(c, 0.95), 6) + 0.0 AS null_p95 FROM c")
+@query(f"""WITH {PAIR}, {PERMUTED.format(21, 33)}, ca AS ({LESS_MEAN.format('(SELECT id, a AS v FROM pr)')}), cb AS ({LESS_MEAN.format('(SELECT id, b AS v FROM pr)')}),
+c AS (SELECT pm.b, quantile_cont(list_cosine_similarity(ca.v, cb.v), 0.5) AS c FROM pm JOIN ca USING (id) JOIN cb ON cb.id = pm.other GROUP BY pm.b) SELECT count(*) AS draws, round(quantile_cont(c, 0.5), 6) + 0.0 AS null_median, round(quantile_cont(c, 0.95), 6) + 0.0 AS null_p95 FROM c""")
 def vec_cosine_null(spark: SparkSession, d: str) -> DataFrame:
-    """BS9: median and 95th percentile of the mean cosine over 20 shifted pairings."""
+    """BS9: median and 95th percentile, over 20 random pairings, of the median cosine with each side less its own mean."""
     x = both(spark, d)
-    n = x.count()
-    asked = x.select("a", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"), F.col("id").alias("own"))
-    met = asked.withColumn("id", (F.col("own") + 3 * F.col("k")) % n).join(x.select("id", "b"), "id")
-    c = met.groupBy("k").agg(F.avg(cosine(F.col("a"), F.col("b"))).alias("c"))
-    return c.agg(F.count("*").alias("draws"), F.percentile("c", 0.5).alias("null_median"), F.percentile("c", 0.95).alias("null_p95"))  # 20 rows
+    a, b = less_mean(x.select("id", F.col("a").alias("v"))), less_mean(x.select("id", F.col("b").alias("v")))
+    met = resampling.permuted(x, "id", 20, 33).withColumnRenamed("b", "draw").join(a, "id").join(b.select(F.col("id").alias("other"), F.col("v").alias("w")), "other")
+    c = profiles.exact_quantiles(met.select("draw", cosine(F.col("v"), F.col("w")).alias("value")), ["draw"], "value", (0.5,))
+    return c.agg(F.count("*").alias("draws"), F.percentile("quantile", 0.5).alias("null_median"), F.percentile("quantile", 0.95).alias("null_p95"))  # 20 rows
 
 
-@query(f"{NEAR}, w AS (SELECT nn.id, (y.label - x.label)::DOUBLE AS dt, y.v[1] - x.v[1] AS dx FROM nn JOIN e x ON x.id = nn.id JOIN e y ON y.id = nn.neighbour WHERE y.label > x.label) SELECT id, count(*) AS n, round(sum(dt * dx) / sum(dt * dt), 6) + 0.0 AS slope, round(avg(dx / dt), 6) + 0.0 AS quotient FROM w GROUP BY id")
+@query(f"""{NEAR}, w AS (SELECT nn.id, (y.label - x.label)::DOUBLE AS dt, unnest(range(0, 64)) AS dim, unnest(y.v) - unnest(x.v) AS dx FROM nn JOIN e x ON x.id = nn.id JOIN e y ON y.id = nn.neighbour WHERE y.label > x.label)
+SELECT id, dim, count(*) AS n, round(sum(dt * dx) / sum(dt * dt), 6) + 0.0 AS slope, round(avg(dx / dt), 6) + 0.0 AS quotient FROM w GROUP BY id, dim""")
 def vec_forward_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Over neighbours of larger time (label), least-squares slope and mean difference quotient of the first component."""
-    v = rows(spark, d).select("id", "label", F.col("vec")[0].cast("double").alias("x"))
-    j = near(spark, d).select("id", "neighbour").join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("label").alias("l2"), F.col("x").alias("x2")), "neighbour").filter("l2 > label")
-    dt, dx = (F.col("l2") - F.col("label")).cast("double"), F.col("x2") - F.col("x")
-    return j.groupBy("id").agg(F.count("*").alias("n"), (F.sum(dt * dx) / F.sum(dt * dt)).alias("slope"), F.avg(dx / dt).alias("quotient"))
+    """Over neighbours of larger time (label), least-squares slope and mean difference quotient of every component."""
+    v = rows(spark, d).select("id", "label", doubles("vec").alias("v"))
+    j = near(spark, d).select("id", "neighbour").join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("label").alias("l2"), F.col("v").alias("w")), "neighbour").filter("l2 > label")
+    j = j.select("id", (F.col("l2") - F.col("label")).cast("double").alias("dt"), F.posexplode(F.zip_with("w", "v", lambda a, b: a - b)).alias("dim", "dx"))
+    return j.groupBy("id", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), (F.sum(F.col("dt") * F.col("dx")) / F.sum(F.col("dt") * F.col("dt"))).alias("slope"), F.avg(F.col("dx") / F.col("dt")).alias("quotient"))

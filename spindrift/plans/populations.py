@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import missing_to_null
 from ..operators.ranks import numbered
 from ..operators.splits import hash_fraction
+from ..sources.shared import write_table
 from ..sources.tables import table
 from .effects import EFFECTS, effects_of, r
 from .registry import query
@@ -181,12 +182,14 @@ def split_strata(spark: SparkSession, d: str) -> DataFrame:
     return c.join(n, ["c_mktsegment", "c_nationkey"]).select("c_custkey", label.alias("stratum"))
 
 
-@query(f"SELECT c_custkey, CASE WHEN {MD5.format(6, 'c_custkey')} < 0.15 THEN 'validation' ELSE 'train' END AS part, CASE WHEN {MD5.format(6, 'c_custkey')} < 0.15 THEN 'validation' ELSE 'train' END = CASE WHEN {MD5.format(6, 'c_custkey')} < 0.15 THEN 'validation' ELSE 'train' END AS unchanged FROM customer WHERE c_acctbal > 0")
+@query(f"SELECT c_custkey, CASE WHEN {MD5.format(6, 'c_custkey')} < 0.15 THEN 'validation' ELSE 'train' END AS part, true AS unchanged, ({MD5.format(6, 'c_custkey')} < 0.15) = ({MD5.format(7, 'c_custkey')} < 0.15) AS as_other_seed FROM customer WHERE c_acctbal > 0")
 def split_frozen(spark: SparkSession, d: str) -> DataFrame:
-    """SPL6, SPL7, SPL20: a split attached to the fitted rows, and the check that it is the one the seed gives."""
-    part = F.when(hash_fraction("c_custkey", 6) < 0.15, "validation").otherwise("train")
-    c = customers(spark, d).filter("c_acctbal > 0").withColumn("part", part)
-    return c.select("c_custkey", "part", (F.col("part") == part).alias("unchanged"))
+    """SPL6, SPL7, SPL20: a split stored with the fitted rows, read back and compared with the one that its seed gives, and
+    with another seed's, which must be told from it."""
+    split = lambda seed: F.when(hash_fraction("c_custkey", seed) < 0.15, "validation").otherwise("train")
+    stored = write_table(customers(spark, d).filter("c_acctbal > 0").select("c_custkey", split(6).alias("part")), "split")
+    now = customers(spark, d).select("c_custkey", split(6).alias("own"), split(7).alias("other"))
+    return stored.join(now, "c_custkey").select("c_custkey", "part", (F.col("part") == F.col("own")).alias("unchanged"), (F.col("part") == F.col("other")).alias("as_other_seed"))
 
 
 @query("SELECT DISTINCT event_type, md5(event_type || '|7|11') AS mixed, md5('11|7|' || event_type) AS turned, substr(md5(concat_ws('|', event_type, 'a.parquet', 'v2')), 1, 12) AS prefix FROM events")

@@ -76,13 +76,16 @@ def runs_duplicate_arms(spark: SparkSession, d: str) -> DataFrame:
     return runs.duplicate_arms(c.unionByName(again), "arm", ["seed", "cell"], "metric", 1e-9, 3)
 
 
-@query("WITH s AS (SELECT user_id, event_id, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events), e AS (SELECT user_id, arg_max(v, event_id) AS last FROM s GROUP BY user_id), b AS (SELECT s.user_id, max(CASE WHEN abs(v - last) > 5 THEN event_id END) AS bad FROM s JOIN e USING (user_id) GROUP BY s.user_id) SELECT s.user_id, min(event_id) AS settled FROM s JOIN b USING (user_id) WHERE bad IS NULL OR event_id > bad GROUP BY s.user_id")
+@query("""WITH s AS (SELECT user_id, event_id, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events),
+e AS (SELECT user_id, arg_max(v, event_id) AS last, count(*) AS n FROM s GROUP BY user_id),
+b AS (SELECT s.user_id, max(CASE WHEN abs(v - last) > 0.05 * last THEN event_id END) AS bad FROM s JOIN e USING (user_id) GROUP BY s.user_id)
+SELECT s.user_id, min(CASE WHEN n >= 3 AND last > 0 AND (bad IS NULL OR event_id > bad) THEN event_id END) AS settled FROM s JOIN b USING (user_id) JOIN e USING (user_id) GROUP BY s.user_id""")
 def curve_settling_point(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     order = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
     s = table(spark, d, "events").select("user_id", "event_id", F.avg("value").over(order).alias("v"))
-    return runs.settling_point(s, "user_id", "event_id", "v", 5.0)
+    return runs.settling_point(s, "user_id", "event_id", "v", 0.05)
 
 
 @query("SELECT DISTINCT event_type, round(value, 6) AS value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY events.value), 6) AS share FROM events")
@@ -100,10 +103,16 @@ def boot_unit_ci(spark: SparkSession, d: str) -> DataFrame:
     return runs.bootstrap_mean(table(spark, d, "events"), "user_id", "value", 200, 11)
 
 
-@query("WITH g AS (SELECT l_suppkey AS k, l_returnflag AS cell_type, avg(l_discount) AS rate, stddev_samp(l_discount) AS sd, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT k, median(rate) AS centre, stddev_samp(rate) / nullif(avg(rate), 0) AS cv, count(*) AS types FROM g WHERE n >= 10 GROUP BY k), s AS (SELECT * FROM a WHERE cv IS NULL OR cv <= 0.2), t AS (SELECT avg(ln(centre)) AS lm FROM s WHERE centre > 0) SELECT k, types, round(centre / exp(lm) * 0.5, 6) AS rate, round(1 / (1 + coalesce(cv, 0)), 6) AS weight FROM s, t WHERE centre > 0")
+@query("""WITH g AS (SELECT l_suppkey AS k, l_returnflag AS cell_type, avg(l_discount) AS rate, avg(l_quantity) AS weight, count(*) AS n FROM lineitem GROUP BY ALL),
+a AS (SELECT k, median(rate) AS centre, stddev_samp(rate) AS sd, avg(weight) AS weight, count(*) AS types FROM g WHERE n >= 10 GROUP BY k),
+s AS (SELECT *, coalesce(sd, 0) / centre AS cv FROM a WHERE centre > 0), t AS (SELECT * FROM s WHERE types < 2 OR cv <= 0.2), l AS (SELECT avg(ln(centre)) AS lm FROM t)
+SELECT k, types, round(centre / exp(lm) * 0.5, 6) AS rate, round(weight, 6) AS weight, round(CASE WHEN types >= 2 THEN greatest(cv, 0.05) ELSE 0.05 END, 6) AS sigma FROM t, l""")
 def anchor_rate_resolution(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), "l_returnflag").agg(F.avg("l_discount").alias("rate"), F.count("*").alias("n"))
-    a = g.filter("n >= 10").groupBy("k").agg(F.percentile("rate", 0.5).alias("centre"), ratio(F.stddev_samp("rate"), F.avg("rate")).alias("cv"), F.count("*").alias("types"))
-    s = a.filter("cv is null or cv <= 0.2").filter("centre > 0")
+    """AGG51: median rate of each anchor over its measurements, those that vary too much left out; the mean of the
+    measurements' weights; the spread relative to the centre, no less than a floor. Rates scaled to a geometric mean of 0.5."""
+    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), "l_returnflag").agg(F.avg("l_discount").alias("rate"), F.avg("l_quantity").alias("weight"), F.count("*").alias("n"))
+    a = g.filter("n >= 10").groupBy("k").agg(F.percentile("rate", 0.5).alias("centre"), F.stddev_samp("rate").alias("sd"), F.avg("weight").alias("weight"), F.count("*").alias("types"))
+    s = a.filter("centre > 0").withColumn("cv", F.coalesce("sd", F.lit(0.0)) / F.col("centre")).filter("types < 2 or cv <= 0.2")
     t = s.agg(F.avg(F.log("centre")).alias("lm"))
-    return s.crossJoin(F.broadcast(t)).select("k", "types", (F.col("centre") / F.exp("lm") * 0.5).alias("rate"), (1 / (1 + F.coalesce("cv", F.lit(0.0)))).alias("weight"))
+    sigma = F.when(F.col("types") >= 2, F.greatest("cv", F.lit(0.05))).otherwise(0.05)
+    return s.crossJoin(F.broadcast(t)).select("k", "types", (F.col("centre") / F.exp("lm") * 0.5).alias("rate"), "weight", sigma.alias("sigma"))  # t: one row

@@ -99,12 +99,14 @@ def vec_column_stats(spark: SparkSession, d: str) -> DataFrame:
     return long_pairs(spark, d).groupBy("dim").agg(pearson("predicted", "observed").alias("pearson"), ratio(F.sqrt(F.avg(err * err)), F.stddev_pop("observed")).alias("nrmse"))
 
 
-@query(f"WITH {LONG}, m AS (SELECT dim, avg(observed) AS m FROM lg GROUP BY dim) SELECT id, round(sum((predicted - m) * (observed - m)) / sqrt(sum((predicted - m) ^ 2) * sum((observed - m) ^ 2)), 6) + 0.0 AS cosine FROM lg JOIN m USING (dim) GROUP BY id")
+@query(f"""WITH {LONG}, m AS (SELECT dim, avg(predicted) AS mp, avg(observed) AS mo FROM lg GROUP BY dim)
+SELECT id, round(coalesce(sum((predicted - mp) * (observed - mo)) / nullif(sqrt(sum((predicted - mp) ^ 2) * sum((observed - mo) ^ 2)), 0), 0), 6) + 0.0 AS cosine FROM lg JOIN m USING (dim) GROUP BY id""")
 def vec_row_cosine_centred(spark: SparkSession, d: str) -> DataFrame:
+    """AGG92: cosine of each row's two vectors, each side less its own mean; 0 where one has no length."""
     x = long_pairs(spark, d)
-    m = x.groupBy("dim").agg(F.avg("observed").alias("m"))
-    c = x.join(m, "dim").select("id", (F.col("predicted") - F.col("m")).alias("p"), (F.col("observed") - F.col("m")).alias("o"))
-    return c.groupBy("id").agg(ratio(F.sum(F.col("p") * F.col("o")), F.sqrt(F.sum(F.col("p") ** 2) * F.sum(F.col("o") ** 2))).alias("cosine"))
+    m = x.groupBy("dim").agg(F.avg("predicted").alias("mp"), F.avg("observed").alias("mo"))
+    c = x.join(m, "dim").select("id", (F.col("predicted") - F.col("mp")).alias("p"), (F.col("observed") - F.col("mo")).alias("o"))
+    return c.groupBy("id").agg(F.coalesce(ratio(F.sum(F.col("p") * F.col("o")), F.sqrt(F.sum(F.col("p") ** 2) * F.sum(F.col("o") ** 2))), F.lit(0.0)).alias("cosine"))
 
 
 @query("WITH x AS (SELECT label AS a, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 2 ELSE 0 END AS b FROM embeddings), n AS (SELECT a, b, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS s, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY a)) AS sa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY b)) AS sb, (SELECT sum(n) FROM n) AS al) SELECT round((s - sa * sb / (al * (al - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (al * (al - 1) / 2)), 6) + 0.0 AS ari FROM t")

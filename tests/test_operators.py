@@ -128,3 +128,49 @@ def test_sources(spark, tmp_path):
         require_unique(df, "k")
     with pytest.raises(ValueError):
         require_columns(df, "z")
+
+
+def test_numbers_that_follow_the_definitions(spark):
+    """Hand-computed values of the measures that once had another definition here."""
+    from spindrift.operators import index, metrics, resampling, runs
+    from spindrift.plans.fields import reliability
+
+    rel = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0), (3, 0, 1.0), (4, 9, 2.0)], "id int, grp int, na double")
+    assert {r.id: r.reliability for r in reliability(rel).collect()} == {1: 0.0, 2: 1.0, 3: 1.0, 4: 0.25}
+    assert {r.reliability for r in reliability(rel.filter("grp = 9")).collect()} == {0.0}
+    curves = [("a", i, v) for i, v in enumerate([9.0, 5.0, 1.4, 1.2, 1.0])] + [("b", 0, 1.0), ("b", 1, 1.0)] + [("c", i, -1.0) for i in range(4)] + [("d", i, 2.0) for i in range(3)]
+    got = {r.k: r.settled for r in runs.settling_point(spark.createDataFrame(curves, "k string, t int, v double"), "k", "t", "v", 0.5).collect()}
+    assert got == {"a": 2, "b": None, "c": None, "d": 0}
+    nan, inf = float("nan"), float("inf")
+    p = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (nan, 1.0), (1.0, nan), (inf, 1.0), (None, 1.0)], "predicted double, observed double")
+    m = metrics.metric_suite(p).first()
+    assert (m.n, round(m.pearson, 9), m.mae) == (3, 1.0, 2.0)
+    ids = spark.range(50)
+    pm = resampling.permuted(ids, "id", 3, 5).collect()
+    for b in (1, 2, 3):
+        part = [(r.id, r.other) for r in pm if r.b == b]
+        assert sorted(x for x, _ in part) == sorted(y for _, y in part) == list(range(50)) and sum(x == y for x, y in part) < 12
+    v = spark.createDataFrame([(i, [float(i), 0.0], i % 2) for i in range(8)], "id long, vec array<double>, lst int")
+    near = {(r.id, r["rank"]): r.neighbour for r in index.nearest_in_lists(v, v, 2).collect()}
+    assert near[0, 1] == 2 and near[0, 2] == 4 and near[3, 1] == 1 and near[3, 2] == 5 and len(near) == 16
+
+
+def test_index_reaches_its_recall(spark, monkeypatch):
+    """Every row is indexed, recall is what brute force says, and a hot list is dealt into tiles without loss."""
+    import numpy as np
+
+    from spindrift.operators import index
+
+    monkeypatch.setattr(index, "TILE", 50)
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(6, 8)) * 3
+    x = centres[np.minimum(r.integers(0, 12, 600), 5)] + r.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    c, probes, measured = index.calibrated(df, 5, 0.95)
+    assert measured >= 0.95 and probes < len(c)
+    g = index.search(df, df, c, 5, probes).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    exact = np.argsort(d, axis=1)[:, :5]
+    assert len(g) == 3000 and sum(n.neighbour in exact[n.id] for n in g) / 3000 >= 0.9
+    assert all(abs(n.distance - d[n.id, n.neighbour]) < 1e-9 for n in g)
