@@ -34,3 +34,25 @@ def stitched(full: DataFrame, control: DataFrame, fit: DataFrame) -> DataFrame:
     c = fit.filter("is_control").select(F.col("row").alias("src"))
     inner = control.join(c, "src", "left_semi").join(c.withColumnRenamed("src", "dst"), "dst", "left_semi")
     return full.join(c, "src", "left_anti").select("src", "dst", "weight").union(inner.select("src", "dst", "weight"))
+
+
+def geodesics(edges: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
+    """(source, node, distance): shortest ways from every row of ``sources`` (source) to all nodes it reaches, both ways along
+    (src, dst); hops, or sums of the positive ``weight``. Each round only nodes that have become nearer pass on their
+    distance; the table has a row per source and node, and no round holds more."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    e = edges.select("src", "dst", w.alias("w"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    both = write_table(both, "geodesic-edges")
+    known = write_table(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("new")).distinct(), "geodesics")
+    while True:
+        step = known.filter("new").join(both, known.node == both.src).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
+        offered = step.groupBy("source", "node").agg(F.min("distance").alias("offer"))
+        met = known.drop("new").join(offered, ["source", "node"], "full_outer")
+        nearer = F.col("distance").isNull() | (F.col("offer") < F.col("distance"))
+        after = write_table(met.select("source", "node", F.least("distance", "offer").alias("distance"), F.coalesce(nearer, F.lit(False)).alias("new")), "geodesics")
+        drop_table(known)
+        known = after
+        if not known.filter("new").limit(1).count():
+            drop_table(both)
+            return known.drop("new")

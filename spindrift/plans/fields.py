@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson, ratio
-from ..operators import graphs, index, profiles, resampling, vectors
+from ..operators import diffusion, graphs, index, profiles, resampling, vectors
 from .registry import query
 from .vectors import HALF, LONG, NEAR, PAIR, fos, long_pairs, near, pairs, rows
 
@@ -380,3 +380,30 @@ def vec_forward_difference(spark: SparkSession, d: str) -> DataFrame:
     j = near(spark, d).select("id", "neighbour").join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("label").alias("l2"), F.col("v").alias("w")), "neighbour").filter("l2 > label")
     j = j.select("id", (F.col("l2") - F.col("label")).cast("double").alias("dt"), F.posexplode(F.zip_with("w", "v", lambda a, b: a - b)).alias("dim", "dx"))
     return j.groupBy("id", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), (F.sum(F.col("dt") * F.col("dx")) / F.sum(F.col("dt") * F.col("dt"))).alias("slope"), F.avg(F.col("dx") / F.col("dt")).alias("quotient"))
+
+
+LABEL_LINKS = """big AS (SELECT label FROM e GROUP BY label HAVING count(*) > 10), dd AS (SELECT q.id, c.id AS neighbour, round(list_distance(q.v, c.v), 12) AS dist FROM e q JOIN big USING (label) JOIN e c ON q.label = c.label AND q.id <> c.id),
+ed AS (SELECT id AS src, neighbour AS dst, dist FROM dd QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, neighbour) <= 5), b AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)"""
+
+
+@query(f"""WITH RECURSIVE {HALF}, {LABEL_LINKS}, r(source, node, h) AS (SELECT DISTINCT src, src, 0 FROM b WHERE src % 100 = 0 UNION SELECT r.source, b.dst, h + 1 FROM r JOIN b ON b.src = r.node WHERE h < 40)
+SELECT source, node, min(h)::DOUBLE AS distance FROM r GROUP BY source, node""")
+def graph_geodesics(spark: SparkSession, d: str) -> DataFrame:
+    """NUM18: hops from every hundredth row to all rows of its neighbour graph (five nearest others of the same label)."""
+    x = rows(spark, d).select("id", "vec", F.col("label").alias("lst"))
+    x = x.join(x.groupBy("lst").count().filter("count > 10").select("lst"), "lst").select("id", "vec", "lst")
+    e = index.nearest_in_lists(x, x, 5).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"))
+    return graphs.geodesics(e, x.filter("id % 100 = 0").select(F.col("id").alias("source")))
+
+
+@query()
+def graph_pseudotime(spark: SparkSession, d: str) -> DataFrame:
+    """NUM8: diffusion pseudotime from row 0 on the graph of all rows' fifteen nearest others, found by the calibrated index."""
+    return diffusion.pseudotime(index.graph(rows(spark, d).select("id", "vec"), 15), 0, k=4, tolerance=1e-6)
+
+
+@query()
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Lists, probes and measured recall of the neighbour index over all rows."""
+    c, probes, got = index.calibrated(rows(spark, d).select("id", "vec"), 10)
+    return spark.createDataFrame([(len(c), probes, float(got), got >= 0.9)], "lists int, probes int, recall double, reached boolean")
