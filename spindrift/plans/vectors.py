@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, ratio
-from ..operators import graphs, transport, vectors
+from ..operators import graphs, profiles, transport, vectors
+from ..sources.shared import write_table
 from ..sources.tables import table
 from .registry import query
 
@@ -128,13 +129,45 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.components(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000000).alias("dst")).distinct())
 
 
-@query()
-def ot_sinkhorn_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Transport plans inside labels, the first half of all rows against the second: each row's best partner and its mass."""
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    """(grp, id, side, vec, payload): the first half of all rows against the second inside each label; the payload is the first
+    four entries."""
     x = rows(spark, d)
     half = x.count() // 2
     x = x.withColumn("side", F.when(F.col("id") < half, "a").otherwise("b"))
-    return transport.sinkhorn_rows(x.select(F.col("label").alias("grp"), "id", "side", "vec"))
+    return x.select(F.col("label").alias("grp"), "id", "side", "vec", F.slice("vec", 1, 4).cast("array<double>").alias("payload"))
+
+
+@query()
+def ot_sinkhorn_rows(spark: SparkSession, d: str) -> DataFrame:
+    """NUM1, VEC24: rows of the transport plans inside labels: best partner, its share, mass, entropy and confidence."""
+    return transport.rows_of(transport.sinkhorn(halves(spark, d), 0.05, 10)).drop("projected")
+
+
+@query()
+def ot_displacement(spark: SparkSession, d: str) -> DataFrame:
+    """NUM4, NUM5: where the plan takes each row, less where it is, over an interval of 7, by component; dynamic rows are the
+    upper three quarters of their label by confidence."""
+    x = halves(spark, d)
+    got = write_table(transport.rows_of(transport.sinkhorn(x, 0.05, 10)), "displacement")
+    cut = profiles.exact_quantiles(got.select("grp", F.col("confidence").alias("value")), ["grp"], "value", (0.25,)).select("grp", F.col("quantile").alias("cut"))
+    own = x.select(F.col("id").alias("src"), "payload")
+    moved = got.join(own, "src").join(cut, "grp").withColumn("v", F.zip_with("projected", "payload", lambda p, o: (p - o) / 7))
+    return moved.select("src", "confidence", (F.col("confidence") >= F.col("cut")).alias("dynamic"), F.posexplode("v").alias("component", "velocity"))
+
+
+@query()
+def ot_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """VEC13: ranks of the true partners by transported mass, per label."""
+    p = pairs(spark, d)
+    side = lambda s, c: p.select("grp", "id", F.lit(s).alias("side"), F.col(c).alias("vec"))
+    return transport.retrieval(transport.sinkhorn(side("a", "a").unionByName(side("b", "b")), 0.05, 10))
+
+
+@query()
+def ot_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """NUM20: debiased entropic divergence of the halves of each label."""
+    return transport.divergence(halves(spark, d).drop("payload"), 0.5, 5)
 
 
 BINS = "WITH e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, value FROM events), r AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM e GROUP BY user_id), b AS (SELECT e.user_id, CASE WHEN hi > lo THEN least(floor((t - lo) / (hi - lo) * 10), 9) ELSE 0 END::INT AS bin, value FROM e JOIN r USING (user_id))"

@@ -41,18 +41,49 @@ def test_transport_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(transport, "BLOCK", block)
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(7, 3)), rng.normal(size=(5, 3))
+    plan, k, f, g = plan_of(a, b, 0.5, 4)
+    rows = [(0, i, "a", v.tolist(), [float(i), 1.0]) for i, v in enumerate(a)] + [(0, 100 + i, "b", v.tolist(), v[:2].tolist()) for i, v in enumerate(b)] + [(1, 9, "a", [0.0, 0.0, 0.0], [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>, payload array<double>")
+    got = {r.src: r for r in transport.rows_of(transport.sinkhorn(df, 0.5, 4)).collect()}
+    assert len(got) == 7 and all(r.grp == 0 for r in got.values())
+    for i, r in got.items():
+        row = plan[i] / plan[i].sum()
+        entropy = -(row * np.log(row)).sum()
+        assert r.dst == 100 + plan[i].argmax() and abs(r.share - row.max()) < 1e-9 and abs(r.mass - plan[i].sum()) < 1e-9
+        assert abs(r.entropy - entropy) < 1e-9 and abs(r.confidence - max(0, 1 - entropy / np.log(5))) < 1e-9
+        assert np.allclose(r.projected, row @ b[:, :2])
+
+
+def plan_of(a, b, epsilon, rounds, scaled=True):
     cost = ((a[:, None] - b[None]) ** 2).sum(-1)
-    k = -cost / cost.mean() / 0.5
-    f, g = np.zeros(7), np.zeros(5)
+    k = -cost / (np.sort(cost.ravel())[(cost.size - 1) // 2] if scaled else 1.0) / epsilon
+    f, g = np.zeros(len(a)), np.zeros(len(b))
     soft = lambda x, axis: np.log(np.exp(x).sum(axis))
-    for _ in range(3):
-        f = -np.log(7) - soft(k + g[None], 1)
-        g = -np.log(5) - soft(k + f[:, None], 0)
-    plan = np.exp(k + f[:, None] + g[None])
-    rows = [(0, i, "a", v.tolist()) for i, v in enumerate(a)] + [(0, 100 + i, "b", v.tolist()) for i, v in enumerate(b)] + [(1, 9, "a", [0.0, 0.0, 0.0])]
-    got = transport.sinkhorn_rows(spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>"), 0.5, 3).collect()
-    assert {r.src: (r.dst - 100) for r in got} == dict(enumerate(plan.argmax(1)))
-    assert all(abs(r.share - plan[r.src].max() / plan[r.src].sum()) < 1e-9 and r.grp == 0 for r in got)
+    for _ in range(rounds):
+        f = -np.log(len(a)) - soft(k + g[None], 1)
+        g = -np.log(len(b)) - soft(k + f[:, None], 0)
+    return np.exp(k + f[:, None] + g[None]), k, f, g
+
+
+def test_retrieval_and_divergence_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(9, 3))
+    b = a + rng.normal(size=(9, 3)) * 0.6
+    rows = [(2, i, s, v.tolist()) for s, x in (("a", a), ("b", b)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>")
+    plan, *_ = plan_of(a, b, 0.3, 3)
+    t = np.diag(plan)
+    ranks = np.concatenate([(plan > t[:, None] * (1 + 1e-9)).sum(1), (plan > t[None] * (1 + 1e-9)).sum(0)])
+    got = transport.retrieval(transport.sinkhorn(df, 0.3, 3)).first()
+    assert abs(got.foscttm - (ranks / 8).mean()) < 1e-9 and abs(got.top1 - (ranks < 1).mean()) < 1e-9 and got.top10 == 1.0
+
+    def value(x, y):
+        _, _, f, g = plan_of(x, y, 0.7, 4, False)
+        return 0.7 * (f.mean() + g.mean() + np.log(len(x)) + np.log(len(y)))
+
+    got = transport.divergence(df, 0.7, 4).first().divergence
+    assert abs(got - (value(a, b) - value(a, a) / 2 - value(b, b) / 2)) < 1e-9
 
 
 def test_energy_distance_of_equal_sets_is_zero(spark):
