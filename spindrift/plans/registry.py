@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import effects, expressions, factors, fields, links, matrices, places, populations, reports, runs, storage, streams, summaries, vectors  # noqa: F401  registers their queries
+    from . import conditions, effects, expressions, factors, fields, links, matrices, places, populations, reports, runs, storage, streams, summaries, vectors  # noqa: F401  registers their queries
 
 
 def queries() -> dict[str, Query]:
