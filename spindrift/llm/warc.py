@@ -169,12 +169,15 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> Data
         fs, path = open_fs(folder)
         unpacker = zstandard.ZstdDecompressor()
         now, raw = None, b""
+        opened, frames = None, []  # the seek table of an archive is read once
         for b in batches:
             out = []
             for name, frame, offset, n in b.itertuples(index=False):
                 if (name, frame) != now:
                     with fs.open_input_file(f"{path}/{name}") as f:
-                        at, packed, _ = read_seek_table(f)[frame]
+                        if name != opened:
+                            opened, frames = name, read_seek_table(f)
+                        at, packed, _ = frames[frame]
                         raw, now = unpacker.decompressobj().decompress(f.read_at(packed, at)), (name, frame)
                 fields, payload = parse_record(raw[offset : offset + n])
                 length, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
