@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import pearson
+from ..functions.stats import normal_two_sided_log, pearson
 from ..operators import effects, metrics
 from ..sources.tables import table
 from .registry import query
@@ -28,8 +30,9 @@ EFFECTS = CELLS + """, st AS (SELECT grp, replicate, measure, count(*) AS n, avg
 eff AS (SELECT a.grp, a.replicate, a.measure, a.n AS n_group, b.n AS n_control, a.m - b.m AS delta, a.c - b.c AS delta_cognate, sqrt(a.v / a.n + b.v / b.n) AS se
   FROM st a JOIN st b ON a.replicate = b.replicate AND a.measure = b.measure AND b.grp = '5-LOW' WHERE a.grp <> '5-LOW' AND a.n >= 2 AND b.n >= 2)"""
 POOLED = EFFECTS + """, pz AS (SELECT grp, measure, avg(delta) AS delta, avg(delta_cognate) AS delta_cognate, count(DISTINCT replicate) AS n_replicates, sqrt(sum(se * se)) / count(se) AS se FROM eff GROUP BY ALL),
-pool0 AS (SELECT *, CASE WHEN se <> 0 THEN delta / se END AS z, 1 / (1 + 0.3275911 * abs(CASE WHEN se <> 0 THEN delta / se END) / sqrt(2)) AS t FROM pz),
-pool AS (SELECT * EXCLUDE (t), (0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-z * z / 2) AS p FROM pool0)"""
+pool0 AS (SELECT *, CASE WHEN se <> 0 THEN delta / se END AS z, 1 / (1 + 0.5 * abs(CASE WHEN se <> 0 THEN delta / se END) / sqrt(2)) AS t FROM pz),
+pl AS (SELECT * EXCLUDE (t), ln(t) - z * z / 2 - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))) AS log_p FROM pool0),
+pool AS (SELECT *, least(1.0, exp(log_p)) AS p FROM pl)"""
 QVALUES = POOLED + """, rk AS (SELECT *, row_number() OVER (ORDER BY p ASC NULLS LAST) AS r, count(p) OVER () AS n FROM pool),
 qv AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * n / r) OVER (ORDER BY p DESC NULLS LAST, r DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM rk)"""
 #: Predictions of the metric queries: the effect in one replicate against the mean of the pair over all.
@@ -138,6 +141,7 @@ def effects_cognate_correlation(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).groupBy("measure").agg(pearson("value", "cognate").alias("correlation"))
 
 
-@query(f"WITH {POOLED} SELECT grp, measure, {r('z', 'p')} FROM pool")
+@query(f"WITH {POOLED} SELECT grp, measure, {r('z', 'p')}, round(log_p / ln(10), 6) + 0.0 AS log10_p FROM pool")
 def effects_two_sided_p(spark: SparkSession, d: str) -> DataFrame:
-    return effects.pooled_pairs(effects_of(spark, d)).select("grp", "measure", "z", "p")
+    x = effects.pooled_pairs(effects_of(spark, d))
+    return x.select("grp", "measure", "z", "p", (normal_two_sided_log("z") / math.log(10)).alias("log10_p"))

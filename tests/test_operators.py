@@ -174,3 +174,16 @@ def test_index_reaches_its_recall(spark, monkeypatch):
     exact = np.argsort(d, axis=1)[:, :5]
     assert len(g) == 3000 and sum(n.neighbour in exact[n.id] for n in g) / 3000 >= 0.9
     assert all(abs(n.distance - d[n.id, n.neighbour]) < 1e-9 for n in g)
+
+
+def test_far_tails_of_the_normal_distribution(spark):
+    import math
+
+    from spindrift.functions.stats import normal_two_sided_log
+
+    zs = [0.0, 0.5, 1.96, 5.0, -8.0, 12.0, 25.0]
+    got = spark.createDataFrame([(z,) for z in [*zs, 60.0]], "z double").select(normal_two_sided("z").alias("p"), normal_two_sided_log("z").alias("l")).collect()
+    for z, r in zip(zs, got):
+        want = math.erfc(abs(z) / math.sqrt(2))
+        assert abs(r.p / want - 1) < 3e-7 and abs(r.l - math.log(want)) < 3e-7
+    assert -1806 < got[-1].l < -1804
