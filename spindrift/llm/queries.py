@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversations, decontaminate, html_extract, merge_replay, pii, quality, simhash, spelling, token_count, token_records, toxicity, warc
+from . import byte_bpe, conversations, decontaminate, html_extract, merge_replay, pii, quality, simhash, spelling, sql_twins, token_count, token_records, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_ledger": quality.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op7_quality_ledger": quality.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op12_conversation_repair": sql_twins.conversations(), "op13_spelling_variants": sql_twins.SPELLING}

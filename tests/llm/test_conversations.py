@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from spindrift.llm import conversations, queries
+from spindrift.llm import conversations, queries, sql_twins
 
 
 def cheapest(rows):
@@ -145,3 +145,12 @@ def test_repaired_turns_are_legal(spark):
 def test_long_strings_are_quick(n):
     got = conversations.solve(["EI" * n, "E" * n])
     assert got[0].cost == 0 and got[0].audit == "K" * 2 * n and len(got[1].audit) >= n
+
+
+def test_the_sql_twin_reads_the_contract_alike():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", odd_rows())
+    assert {r[0]: r[1:] for r in con.execute(sql_twins.conversations()).fetchall()} == expected(odd_rows())

@@ -399,3 +399,34 @@ def test_registered_queries_match_their_sql(spark, sf_dir, name):
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, sf_dir).select(*columns)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_long_texts_do_not_empty_the_training_sample(spark):
+    """A text over the byte bound is passed over, large ones come last, and what stands behind them by hash still counts."""
+    rows = [(i, "x" * (5000 if i % 3 == 0 else 900 if i % 3 == 1 else 40)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for part in toxicity.sample(docs, labels, 100, 2000):
+        sizes = [len(t) for t in part]
+        assert max(sizes) <= 900 and sizes.count(40) >= 5 and sum(sizes) <= 2000 and sizes.count(900) == (2000 - 40 * sizes.count(40)) // 900
+
+
+def test_features_equal_a_plain_reading():
+    """Windows, compressed lengths and their summary, written again without arrays."""
+    import zstandard as z
+
+    model = toxicity.train(["you vile rotten pest go away now friend " * 3 + str(i) for i in range(40)], ["the weather is mild and the garden grows well " * 3 + str(i) for i in range(40)])
+    text = "What a vile rotten day, the garden grows well and the pest of a weather goes on and on without any end in sight " * 2
+    raw, pieces = text.lower().encode(), []
+    while raw:
+        cut = raw[:64]
+        if len(raw) > 64:
+            at = cut.rfind(b" ", 1)
+            cut = cut[:at] if at > 0 else cut
+        pieces.append(cut)
+        raw = raw[len(cut) :]
+    size = lambda d, w: len(z.ZstdCompressor(level=toxicity.LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    gaps = sorted(size(model.ordinary, w) - size(model.toxic, w) for w in pieces)
+    mean = sum(gaps) / len(gaps)
+    want = [1, max(-4, min(4, mean)), max(-8, min(16, sum(gaps[-2:]) / 2)) / 4, *(2 * (sum(g >= k for g in gaps) / len(gaps)) ** 0.5 for k in toxicity.THRESHOLDS)]
+    assert len(pieces) == len(toxicity.windows(text)) and max(abs(a - b) for a, b in zip(model.features([text])[0], want)) < 1e-9

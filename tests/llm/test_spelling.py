@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from spindrift.llm import queries, spelling
+from spindrift.llm import queries, spelling, sql_twins
 from spindrift.llm.common import write_table
 
 
@@ -100,3 +100,13 @@ def test_case_and_letters(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert result(queries.op13_spelling_variants(spark, sf_dir)) == expected(counted(rows))
+
+
+def test_the_sql_twin_reads_the_contract_alike(documents):
+    import duckdb
+
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert set(con.execute(sql_twins.SPELLING).fetchall()) == expected(counted(rows))
