@@ -98,10 +98,12 @@ def median_costs(a: DataFrame, b: DataFrame) -> DataFrame:
     return span.select("grp", F.when(middle > 1e-12, middle).otherwise(1.0).alias("scale"))
 
 
-def sinkhorn(points: DataFrame, epsilon: float = 0.05, iterations: int = 50, scaled: bool = True) -> Plan:
+def sinkhorn(points: DataFrame, epsilon: float = 0.05, iterations: int = 50, scaled: bool = True, penalty: float | None = None) -> Plan:
     """Potentials of the entropic plan with uniform margins, per group of (grp, id, side 'a'|'b', vec[, payload]).
 
-    ``scaled`` divides costs by their median. Groups that lack a side are left out."""
+    ``scaled`` divides costs by their median. With a ``penalty`` the margins need not hold: each costs its divergence from the
+    uniform one times the penalty, so that points without a near partner give up mass. Groups that lack a side are left out."""
+    held = 1.0 if penalty is None else penalty / (penalty + epsilon)
     a, b = (write_table(blocked(points, s), f"transport-{s}") for s in "ab")
     one = a.select("grp").distinct().join(b.select("grp").distinct(), "grp").withColumn("scale", F.lit(1.0))
     scale = write_table(median_costs(a, b) if scaled else one, "transport-scale")
@@ -118,7 +120,7 @@ def sinkhorn(points: DataFrame, epsilon: float = 0.05, iterations: int = 50, sca
         cells = cells.toDF("grp", "block", "n", "at", "top", "total")
         s = cells.groupBy("grp", "block", "n", "at").agg(F.max("top").alias("most"), F.collect_list(F.struct("top", "total")).alias("parts"))
         log_sum = F.col("most") + F.log(F.aggregate("parts", F.lit(0.0), lambda z, p: z + p.total * F.exp(p.top - F.col("most"))))
-        v = s.select("grp", "block", "at", (-F.log(F.col("n").cast("double")) - log_sum).alias("v"))
+        v = s.select("grp", "block", "at", (-F.log(F.col("n").cast("double")) - held * log_sum).alias("v"))
         return v.groupBy("grp", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda z: z.v).alias("v"))
 
     g = write_table(b.select("grp", "block", F.array_repeat(F.lit(0.0), F.size("ids")).alias("v")), "transport-potential")

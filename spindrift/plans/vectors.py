@@ -164,6 +164,14 @@ def ot_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return transport.retrieval(transport.sinkhorn(side("a", "a").unionByName(side("b", "b")), 0.05, 10))
 
 
+@query()
+def ot_unbalanced(spark: SparkSession, d: str) -> DataFrame:
+    """NUM18: the mass that each row keeps where margins are penalised instead of held, against its even share."""
+    got = transport.rows_of(transport.sinkhorn(halves(spark, d).drop("payload"), 0.05, 10, penalty=0.5))
+    n = got.groupBy("grp").agg(F.count("*").alias("n"))
+    return got.join(n, "grp").select("grp", "src", "dst", "mass", (F.col("mass") * F.col("n")).alias("kept"))
+
+
 @query()
 def ot_divergence(spark: SparkSession, d: str) -> DataFrame:
     """NUM20: debiased entropic divergence of the halves of each label."""

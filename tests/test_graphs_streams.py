@@ -65,6 +65,25 @@ def plan_of(a, b, epsilon, rounds, scaled=True):
     return np.exp(k + f[:, None] + g[None]), k, f, g
 
 
+def test_penalised_margins_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(6, 2)), rng.normal(size=(5, 2))
+    a[0] += 9  # far from everything
+    cost = ((a[:, None] - b[None]) ** 2).sum(-1)
+    k, held = -cost / np.sort(cost.ravel())[(cost.size - 1) // 2] / 0.2, 0.5 / 0.7
+    f, g = np.zeros(6), np.zeros(5)
+    soft = lambda x, axis: np.log(np.exp(x).sum(axis))
+    for _ in range(3):
+        f = -np.log(6) - held * soft(k + g[None], 1)
+        g = -np.log(5) - held * soft(k + f[:, None], 0)
+    mass = np.exp(k + f[:, None] + g[None]).sum(1)
+    rows = [(0, i, s, v.tolist()) for s, x in (("a", a), ("b", b)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "grp int, id long, side string, vec array<double>")
+    got = {r.src: r.mass for r in transport.rows_of(transport.sinkhorn(df, 0.2, 3, penalty=0.5)).collect()}
+    assert all(abs(got[i] - mass[i]) < 1e-9 for i in range(6)) and mass[0] < mass[1:].min()
+
+
 def test_retrieval_and_divergence_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(transport, "BLOCK", 4)
     rng = np.random.default_rng(4)

@@ -69,3 +69,15 @@ def test_routed_blocks_count_once(spark):
             if row == r:
                 want[o, t, col] = want.get((o, t, col), 0) + v
     assert {(g.output, g.target, g.col): g.value for g in got.collect()} == want and entries.first().entries == 100
+
+
+def test_written_tables_can_be_cleared(spark):
+    from spindrift.sources import shared
+
+    shared.clear_written(spark)
+    one, two = (shared.write_table(spark.range(3), "test-clear") for _ in range(2))
+    shared.drop_table(one)
+    assert two.count() == 3 and len(shared._written) <= 2
+    assert shared.clear_written(spark) >= 1 and not shared._written
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|No such file"):
+        two.count()
