@@ -14,10 +14,11 @@ def drawn(df: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
     Draw b, slot s takes the unit at place floor(hash("seed:b:s") * n). Units times draws are built: for tables of
     effects or of sums per unit."""
     units = numbered(df.select(unit).distinct(), F.col(unit)).select(unit, (F.col("_r") - 1).cast("long").alias("_k"))
-    n = units.agg(F.count("*").alias("_n"))
-    slots = df.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    n = units.count()
+    # a row per draw and slot, made where it is used
+    slots = df.sparkSession.range(draws * n).select(F.expr(f"id DIV {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("_s"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "_s")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
-    taken = slots.select("b", F.floor(h * F.col("_n")).alias("_k")).groupBy("b", "_k").agg(F.count("*").cast("int").alias("_times"))
+    taken = slots.select("b", F.floor(h * n).alias("_k")).groupBy("b", "_k").agg(F.count("*").cast("int").alias("_times"))
     times = taken.join(units, "_k").select("b", unit, "_times")
     return df.join(times, unit).withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).drop("_times")
 

@@ -85,9 +85,10 @@ def bootstrap_mean(units: DataFrame, unit: str, value: str, draws: int, seed: in
     Draw b, slot s takes the unit whose rank is floor(hash("seed:b:s") * n); only sums per unit are resampled."""
     per = units.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     ranked = numbered(per, F.col(unit)).withColumn("r", F.col("_r") - 1)
-    n = per.agg(F.count("*").alias("n"))
-    slots = units.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    n = ranked.count()
+    # a row per draw and slot, made where it is used
+    slots = units.sparkSession.range(draws * n).select(F.expr(f"id DIV {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("slot"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "slot")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
-    picked = slots.withColumn("r", F.floor(u * F.col("n")))
+    picked = slots.withColumn("r", F.floor(u * n))
     means = picked.join(ranked, "r").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
     return means.agg(F.count("*").alias("draws"), F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"), F.avg("m").alias("mean"))
