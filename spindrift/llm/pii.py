@@ -154,7 +154,8 @@ def surrogate(t: Column, value: Column, canon: Column, gender: Column, nonce: Co
     def made(h: Column) -> Column:
         fixed = F.when(t == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(scramble(value, h), F.lit(5)))).when(t == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(scramble(value, h), F.lit(3)))).when(t == "ssn", F.concat(F.lit("9"), F.substr(scramble(value, h), F.lit(2))))
         out = fixed.when(t == "email", email(h)).when(t == "ip", ip(h)).when(t == "card", card(h)).when(t == "phone", phone(h)).when(t == "name", name(h)).otherwise(scramble(value, h))
-        return F.when((nonce <= GROW) | t.isin("email", "name"), out).otherwise(F.concat(out, F.when(t == "ip", ":").otherwise(""), longer))
+        # the large expression stands here once
+        return F.concat(out, F.when((nonce <= GROW) | t.isin("email", "name"), "").when(t == "ip", F.concat(F.lit(":"), longer)).otherwise(longer))
 
     return let(stream, made)
 
