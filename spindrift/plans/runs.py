@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
 from ..operators import names, runs
 from ..sources.tables import table
 from .registry import query
