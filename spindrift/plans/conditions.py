@@ -74,18 +74,31 @@ def path_rows(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "t", F.col("value").alias("s"), F.when(F.col("event_type").startswith("p"), 0.6).otherwise(0.4).alias("a"), F.when(F.col("event_id") % 2 == 0, 1.2).otherwise(0.8).alias("r"))
 
 
-@query(f"""WITH RECURSIVE {PATH}, p AS (SELECT user_id, k, s, a, r, 0.0::DOUBLE AS level FROM e WHERE k = 1 UNION ALL
-SELECT user_id, k, s, a, r, greatest(0.0, level + 0.25 * (k1 + 2 * k2 + 2 * k3 + r * (a * s - 0.3 * (level + 0.25 * k3))) / 6) FROM (
-SELECT *, (r0 + r) / 2 * ((a0 + a) / 2 * (s0 + s) / 2 - 0.3 * (level + 0.125 * k2)) AS k3 FROM (
-SELECT *, (r0 + r) / 2 * ((a0 + a) / 2 * (s0 + s) / 2 - 0.3 * (level + 0.125 * k1)) AS k2 FROM (
-SELECT e.*, p.level, p.s AS s0, p.a AS a0, p.r AS r0, p.r * (p.a * p.s - 0.3 * p.level) AS k1 FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1))))
-SELECT user_id, (k * 0.25)::DOUBLE AS t, round(level, 6) + 0.0 AS level FROM p""")
+def levels(at_start: str, between: str, at_end: str) -> str:
+    """SQL of the integrated levels; ``e`` has the drive at a row (``at_start``, as of the row before; ``at_end``, as of this
+    one) and halfway to the next."""
+    return f"""p AS (SELECT e.*, 0.0::DOUBLE AS level FROM e WHERE k = 1 UNION ALL
+SELECT * EXCLUDE (level, s_0, s_m, s_1, a0, r0, k1, k2, k3), greatest(0.0, level + 0.25 * (k1 + 2 * k2 + 2 * k3 + r * (a * s_1 - 0.3 * (level + 0.25 * k3))) / 6) AS level FROM (
+SELECT *, (r0 + r) / 2 * ((a0 + a) / 2 * s_m - 0.3 * (level + 0.125 * k2)) AS k3 FROM (
+SELECT *, (r0 + r) / 2 * ((a0 + a) / 2 * s_m - 0.3 * (level + 0.125 * k1)) AS k2 FROM (
+SELECT *, r0 * (a0 * s_0 - 0.3 * level) AS k1 FROM (
+SELECT e.*, p.level, {at_start} AS s_0, {between} AS s_m, {at_end} AS s_1, p.a AS a0, p.r AS r0 FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)))))
+SELECT user_id, (k * 0.25)::DOUBLE AS t, round(level, 6) + 0.0 AS level FROM p"""
+
+
+@query(f"WITH RECURSIVE {PATH}, {levels('p.s', '(p.s + e.s) / 2', 'e.s')}")
 def path_integrated(spark: SparkSession, d: str) -> DataFrame:
     """NUM23: levels driven by each user's values, integrated along the events in order."""
     return paths.integrate(path_rows(spark, d), "user_id", "t", "s", "a", "r", 0.3)
 
 
-@query()
+#: The drive 0.6 earlier than a row and than halfway to the next, on the grid of quarters: between the third and second, and
+#: the second and first row before; the first row's where there are none.
+DELAYED = """e AS (SELECT *, 0.4 * coalesce(lag(s, 3) OVER w, f) + 0.6 * coalesce(lag(s, 2) OVER w, f) AS d, 0.9 * coalesce(lag(s, 2) OVER w, f) + 0.1 * coalesce(lag(s, 1) OVER w, f) AS m
+FROM (SELECT *, first_value(s) OVER (PARTITION BY user_id ORDER BY k) AS f FROM x) WINDOW w AS (PARTITION BY user_id ORDER BY k))"""
+
+
+@query(f"WITH RECURSIVE {PATH.replace('e AS', 'x AS', 1)}, {DELAYED}, {levels('p.d', 'p.m', 'e.d')}")
 def path_delayed(spark: SparkSession, d: str) -> DataFrame:
     """NUM24: the same with a drive that acts 0.6 later."""
     return paths.integrate(path_rows(spark, d), "user_id", "t", "s", "a", "r", 0.3, lag=0.6)
