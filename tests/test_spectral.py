@@ -100,6 +100,27 @@ def test_singular_vectors_of_small_and_degenerate_matrices(spark, shape):
         assert np.allclose(v[:, big].T @ v[:, big], np.eye(big.sum()), atol=1e-8)
 
 
+def test_close_singular_values_need_no_restarts(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(2000, 50)) + 3.0
+    df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(2000) for j in range(50)], "row int, col int, value double")
+    a = m - m.mean(0)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    monkeypatch.setattr(spectral, "leading_eigen", None)
+    vectors, values, _ = spectral.truncated_svd(df, 4, centre=True)
+    v = np.array([x.v for x in vectors.orderBy("key").collect()])
+    assert np.allclose(values, s[:4], rtol=1e-9) and np.allclose(np.abs((v * vt[:4].T).sum(0)), 1.0, atol=1e-8)
+
+
+def test_iterated_vectors_equal_those_of_one_pass(spark, weights, monkeypatch):
+    x, fit = factors.weighted(spark, DATA)
+    vectors, values, _ = spectral.truncated_svd(x.join(fit, "row", "left_semi"), 3)
+    monkeypatch.setattr(spectral, "NARROW", 0)
+    others, again, _ = spectral.truncated_svd(x.join(fit, "row", "left_semi"), 3)
+    assert np.allclose(values, again, rtol=1e-8)
+    v, w = (np.array([r.v for r in d.orderBy("key").collect()]) for d in (vectors, others))
+    assert np.abs(v - w).max() < 1e-5
+
+
 def test_shuffled_blocks_equal_broadcast_ones(spark, weights, monkeypatch):
     x, fit = factors.weighted(spark, DATA)
     _, values = spectral.lsi(x, fit, 3)
