@@ -10,7 +10,7 @@ brute force for the rows whose id is divisible by ``ask`` and doubles the probes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,37 +21,69 @@ from pyspark.sql import functions as F
 from ..sources.shared import write_table
 
 #: Vectors of a tile, rows of the k-means sample (at 64 doubles 10 MB), lists at most, and rounds of k-means.
-TILE, SAMPLE, LISTS, ROUNDS = 1024, 20_000, 4096, 10
+TILE, SAMPLE, LISTS, ROUNDS = 4096, 20_000, 4096, 10
+#: Queries of a tile whose distances stand in memory at once.
+CHUNK = 64
 
 
 def tiles(points: DataFrame, tile: int, prefix: str) -> DataFrame:
     """(lst, tile number, ids, vectors as one flat array) of (id, vec, lst)."""
     n = points.groupBy("lst").agg(F.count("*").alias("_n"))
     x = points.join(n, "lst").withColumn(f"{prefix}t", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / tile)))
-    packed = x.groupBy("lst", f"{prefix}t").agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias("_p"))
+    packed = x.groupBy("lst", f"{prefix}t").agg(F.collect_list(F.struct("id", "vec")).alias("_p"))
     return packed.select("lst", f"{prefix}t", F.col("_p.id").alias(f"{prefix}_ids"), F.flatten("_p.vec").alias(f"{prefix}_flat"))
 
 
-def nearest_in_lists(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(id, neighbour, distance, rank): the k nearest members (id, vec, lst) of each query (id, vec, lst) in its
-    lists, itself left out; ties by id. A query may stand in several lists, a member in one."""
-    q, m = write_table(tiles(queries, TILE, "q"), "index-queries"), write_table(tiles(members, TILE, "m"), "index-members")
-    pairs = q.select("lst", "qt").join(m.select("lst", "mt"), "lst")  # numbers of tiles only
+def squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of two matrices by one product, and a bound of their error for each row of ``x``."""
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    return np.maximum(nx[:, None] + ny[None] - 2 * x @ y.T, 0.0), 1e-12 * (nx + np.nanmax(ny, initial=0.0))
+
+
+def nearest_few(q_ids: np.ndarray, x: np.ndarray, m_ids: np.ndarray, y: np.ndarray, k: int, include_self: bool) -> pd.DataFrame:
+    """The k nearest rows of ``y`` of each row of ``x``, ties by id. Products choose the rows that may be among them; only these
+    are measured by differences, to 12 digits."""
+    out = []
+    for first in range(0, len(x), CHUNK):
+        at, v = q_ids[first : first + CHUNK], x[first : first + CHUNK]
+        d, error = squared(v, y)
+        own = np.zeros(d.shape, bool) if include_self else at[:, None] == m_ids[None]
+        d[own] = np.inf
+        kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        reach = (np.sqrt(kth + 2 * error) + 1e-11) ** 2 + 2 * error  # distances are compared after rounding
+        rows, cols = np.nonzero(~(d > reach[:, None]) & ~own)  # distances that are no numbers come last
+        dist = np.empty(len(rows))
+        for i in range(0, len(rows), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            dist[part] = np.round(np.sqrt(((y[cols[part]] - v[rows[part]]) ** 2).sum(1)), 12)
+        order = np.lexsort((m_ids[cols], dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        out.append(pd.DataFrame({"id": at[rows[keep]], "neighbour": m_ids[cols[keep]], "distance": dist[keep]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def met_tiles(q: DataFrame, m: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(ids, vectors, ids, vectors)`` of every listed pair (lst, qt, mt) of tiles."""
     met = pairs.join(m, ["lst", "mt"]).join(q, ["lst", "qt"]).select("q_ids", "q_flat", "m_ids", "m_flat")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q_ids, q_flat, m_ids, m_flat in zip(b.q_ids, b.q_flat, b.m_ids, b.m_flat, strict=True):
-                x, y = np.reshape(q_flat, (len(q_ids), -1)), np.reshape(m_flat, (len(m_ids), -1))
-                out = []
-                for i, v in zip(q_ids, x, strict=True):
-                    dist = np.round(np.sqrt(((y - v) ** 2).sum(1)), 12)
-                    allowed = np.flatnonzero(m_ids != i)
-                    top = allowed[np.lexsort((m_ids[allowed], dist[allowed]))[:k]]
-                    out.append(pd.DataFrame({"id": i, "neighbour": m_ids[top], "distance": dist[top]}))
-                yield pd.concat(out, ignore_index=True)
-
-    found = met.mapInPandas(run, "id long, neighbour long, distance double")
+                x, y = (np.reshape(np.asarray(f, np.float64), (len(i), -1)) for i, f in ((q_ids, q_flat), (m_ids, m_flat)))
+                yield kernel(np.asarray(q_ids), x, np.asarray(m_ids), y)
+
+    return met.mapInPandas(run, schema)
+
+
+def nearest_in_lists(queries: DataFrame, members: DataFrame, k: int, include_self: bool = False) -> DataFrame:
+    """(id, neighbour, distance, rank): the k nearest members (id, vec, lst) of each query (id, vec, lst) in its
+    lists, itself left out unless ``include_self``; ties by id. A query may stand in several lists, a member in one."""
+    q, m = write_table(tiles(queries, TILE, "q"), "index-queries"), write_table(tiles(members, TILE, "m"), "index-members")
+    pairs = q.select("lst", "qt").join(m.select("lst", "mt"), "lst")  # numbers of tiles only
+    kernel = lambda q_ids, x, m_ids, y: nearest_few(q_ids, x, m_ids, y, k, include_self)
+    found = met_tiles(q, m, pairs, kernel, "id long, neighbour long, distance double")
     order = W.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

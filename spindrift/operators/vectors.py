@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of a block.
+from ..sources.shared import write_table
+from . import index
+
+#: Vectors of a block of structs.
 BLOCK = 1024
 
 
@@ -64,18 +66,8 @@ def foscttm(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     """The k nearest candidates (id, vec) of each query (id, vec): (id, neighbour, distance, rank); ties by id."""
 
-    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out, vs, ids = [], _matrix(c.vec), c.id.to_numpy()
-        for i, v in zip(q.id, q.vec, strict=True):
-            d = np.round(np.sqrt(((vs - np.asarray(v, np.float64)) ** 2).sum(1)), 12)
-            allowed = np.flatnonzero((ids != i) | include_self)
-            top = allowed[np.lexsort((ids[allowed], d[allowed]))[:k]]
-            out.append(pd.DataFrame({"id": i, "neighbour": ids[top], "distance": d[top]}))
-        return pd.concat(out, ignore_index=True)
-
-    parts = block_pairs(queries.select("id", "vec"), candidates.select("id", "vec"), "id", kernel, "id long, neighbour long, distance double")
-    order = W.partitionBy("id").orderBy("distance", "neighbour")
-    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    one = F.lit(0).alias("lst")
+    return index.nearest_in_lists(queries.select("id", "vec", one), candidates.select("id", "vec", one), k, include_self)
 
 
 def label_vote(near: DataFrame, labels: DataFrame) -> DataFrame:
@@ -102,27 +94,43 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.when(top != expected, (F.col("s") - expected) / (top - expected)).otherwise(1.0).alias("ari"))
 
 
-def mean_distances(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per query (id, vec): the number of candidates and the sum of its distances to them."""
-
-    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        vs = _matrix(c.vec)
-        sums = [float(np.sqrt(((vs - np.asarray(v, np.float64)) ** 2).sum(1)).sum()) for v in q.vec]
-        return pd.DataFrame({"id": q.id, "n": len(vs), "total": sums})
-
-    parts = block_pairs(queries.select("id", "vec"), candidates.select("id", "vec"), "id", kernel, "id long, n long, total double")
-    return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+def distance_sum(x: np.ndarray, y: np.ndarray, chunk: int = 256) -> float:
+    """Sum of the distances of all rows of two matrices, by products; those too short for a product's digits by differences."""
+    total = 0.0
+    for first in range(0, len(x), chunk):
+        v = x[first : first + chunk]
+        d, error = index.squared(v, y)
+        rows, cols = np.nonzero(d <= 1e4 * error[:, None])
+        for at in range(0, len(rows), 1 << 16):
+            r, c = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+            d[r, c] = ((y[c] - v[r]) ** 2).sum(1)
+        total += float(np.sqrt(d).sum())
+    return total
 
 
 def energy_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """(2 E|a-b| - E|a-a'| - E|b-b'|) / E|b-b'|, over all pairs of rows; null where E|b-b'| is 0.
 
-    Every row of both sides asks, in blocks: the work grows with the square of the rows, memory doesn't."""
+    Every row of both sides asks, in tiles: the work grows with the square of the rows, memory doesn't. Inside a side a
+    pair of tiles is met once and counts twice."""
+    one = F.lit(0).alias("lst")
+    x, y = (write_table(index.tiles(df.select("id", "vec", one), index.TILE, "m"), "energy") for df in (a, b))
+
+    def mean(left: DataFrame, right: DataFrame, same: bool, name: str) -> DataFrame:
+        q = left.withColumnsRenamed({"mt": "qt", "m_ids": "q_ids", "m_flat": "q_flat"})
+        pairs = q.select("lst", "qt").join(right.select("lst", "mt"), "lst")  # numbers of tiles only
+        if same:
+            once = pairs.filter("qt < mt"), pairs.filter("qt = mt")
+        else:
+            once = (pairs,)
+
+        def kernel(_q, v, _m, w):
+            return pd.DataFrame({"n": [len(v) * len(w)], "total": [distance_sum(v, w)]})
 
-    def mean(q: DataFrame, c: DataFrame, name: str) -> DataFrame:
-        return mean_distances(q, c).agg((F.sum("total") / F.sum("n")).alias(name))
+        sums = [index.met_tiles(q, right, p, kernel, "n long, total double").select(*(F.col(c) * (2 if same and i == 0 else 1) for c in ("n", "total"))).toDF("n", "total") for i, p in enumerate(once)]
+        return (sums[0].unionByName(sums[1]) if same else sums[0]).agg((F.sum("total") / F.sum("n")).alias(name))
 
-    one = mean(a, b, "ab").crossJoin(mean(a, a, "aa")).crossJoin(mean(b, b, "bb"))  # one row each
+    one = mean(x, y, False, "ab").crossJoin(mean(x, x, True, "aa")).crossJoin(mean(y, y, True, "bb"))  # one row each
     return one.select(((2 * F.col("ab") - F.col("aa") - F.col("bb")) / F.when(F.col("bb") > 0, F.col("bb"))).alias("energy"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, pearson, ratio
 from ..operators import diffusion, graphs, index, profiles, resampling, vectors
+from ..sources.shared import write_table
 from .registry import query
 from .vectors import HALF, LONG, NEAR, PAIR, fos, long_pairs, near, pairs, rows
 
@@ -312,12 +313,13 @@ def vec_neighbour_coherence(spark: SparkSession, d: str) -> DataFrame:
     n = v.agg(F.count("*").alias("n"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("31"), "id", "k")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
     far = v.filter("id % 20 = 0").select("id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k")).crossJoin(F.broadcast(n)).select("id", F.floor(draw * F.col("n")).alias("neighbour"))  # n: one row
-    near_mean, far_mean = mean_of(near(spark, d), v), mean_of(far, v)
+    near_mean, far_mean = (write_table(mean_of(x, v), "coherence") for x in (near(spark, d), far))  # each is read several times
     plain = v.join(near_mean.withColumnRenamed("v", "w"), "id")
     centred_ = [less_mean(v).join(less_mean(m).withColumnRenamed("v", "w"), "id") for m in (near_mean, far_mean)]
     out = None
     for x, name in ((plain, "neighbour_cosine"), (centred_[0], "centred_cosine"), (centred_[1], "random_cosine")):
-        c = profiles.exact_quantiles(x.select(cosine(F.col("v"), F.col("w")).alias("value")), [], "value", (0.5,)).select(F.col("quantile").alias(name))
+        value = write_table(x.select(cosine(F.col("v"), F.col("w")).alias("value")), "coherence")
+        c = profiles.exact_quantiles(value, [], "value", (0.5,)).select(F.col("quantile").alias(name))
         out = c if out is None else out.crossJoin(c)  # one row each
     return out
 
