@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, normal_two_sided, pearson, ratio
+from ..sources.shared import write_table
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...], buckets: int = 200) -> DataFrame:
@@ -14,10 +15,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[floa
 
     Equal values are counted first; approximate quantiles cut each group's distinct values into buckets, whose
     counts tell in which bucket a rank lies; only the values of those buckets are put in order. So neither an
-    aggregation buffer nor a sort ever holds all values of a group.
+    aggregation buffer nor a sort ever holds all values of a group. The counts, which are read several times, are written.
     """
     g = [*by, "_one"]
     n = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(0)).groupBy(*g, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    n = write_table(n, "quantiles")
     cuts = n.groupBy(*g).agg(F.percentile_approx("_v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 20 * buckets).alias("_cuts"), F.sum("_c").alias("n"))
     filed = n.join(F.broadcast(cuts.select(*g, "_cuts")) if not by else cuts.select(*g, "_cuts"), g)
     filed = filed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
@@ -71,19 +73,29 @@ def majority_share(df: DataFrame, by: str, label: str) -> DataFrame:
 
 def rank_sum(cells: DataFrame, control: str) -> DataFrame:
     """Two-sided rank-sum test of every group against the control per measure, with tie-averaged ranks, tie and
-    continuity correction in the normal approximation. Ranks need a sort per (group, measure) with the control's
-    rows beside each group's."""
-    c = cells.filter(F.col("grp") == control).select("measure", "value")
-    groups = cells.filter(F.col("grp") != control).select("grp", "measure").distinct()
-    both = cells.filter(F.col("grp") != control).select("grp", "measure", "value", F.lit(1).alias("own")).unionByName(groups.join(c, "measure").select("grp", "measure", "value", F.lit(0).alias("own")))
-    r = both.withColumn("rank", average_rank("value", "grp", "measure"))
-    ties = both.groupBy("grp", "measure", "value").agg(F.count("*").cast("double").alias("t")).groupBy("grp", "measure").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    s = r.groupBy("grp", "measure").agg(F.sum("own").cast("double").alias("n1"), F.count_if(F.col("own") == 0).cast("double").alias("n2"), F.sum(F.col("own") * F.col("rank")).alias("r1")).join(ties, ["grp", "measure"])
+    continuity correction in the normal approximation. Equal values are counted first; the control's counts below each value
+    come from ranges of (measure, value), so that no task sorts or buffers a measure. Nulls rank last and are ties."""
+    is_control = F.col("grp") == control
+    n = cells.filter(F.col("grp").isNotNull()).groupBy("measure", "value", "grp").agg(F.count("*").alias("c"))
+    per = n.groupBy("measure", "value").agg(F.coalesce(F.sum(F.when(is_control, F.col("c"))), F.lit(0)).alias("t2"), F.collect_list(F.when(~is_control, F.struct("grp", F.col("c").alias("t1")))).alias("own"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("measure"), F.col("value").asc_nulls_last()]
+    x = write_table(per.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "rank-sum")
+    held = x.groupBy("measure", "_part").agg(F.sum("t2").alias("t"))  # a row per range and measure in it
+    before = F.sum("t").over(W.partitionBy("measure").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = held.select("measure", "_part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("t2").over(W.partitionBy("_part", "measure").orderBy(order[1]).rowsBetween(W.unboundedPreceding, 0)) - F.col("t2")
+    # null measures never meet the control
+    below = x.withColumn("inside", inside).join(offsets, ["measure", "_part"]).withColumn("below", (F.col("before") + F.col("inside")).cast("double"))
+    t1, t2 = F.col("t1").cast("double"), F.col("t2").cast("double")
+    cubes = lambda t: t * t * t - t
+    u_ = below.select("measure", "below", "t2", F.inline("own")).groupBy("grp", "measure").agg(F.sum(t1).alias("n1"), F.sum(t1 * (F.col("below") + t2 / 2)).alias("u"), F.sum(cubes(t1 + t2) - cubes(t2)).alias("more"))
+    c = x.groupBy("measure").agg(F.sum(t2).alias("n2"), F.sum(cubes(t2)).alias("ties"))
+    s = u_.join(c, "measure").withColumn("ties", F.col("ties") + F.col("more"))
     n = F.col("n1") + F.col("n2")
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5) / F.when(sd > 0, sd)
-    return s.select("grp", "measure", u.alias("u"), z.alias("z")).withColumn("p", normal_two_sided(F.greatest("z", F.lit(0.0))))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / F.when(n > 1, n * (n - 1))))
+    z = (F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5) / F.when(sd > 0, sd)
+    return s.select("grp", "measure", "u", z.alias("z")).withColumn("p", normal_two_sided(F.greatest("z", F.lit(0.0))))
 
 
 def replicate_agreement(effects: DataFrame, least: int = 3) -> DataFrame:
