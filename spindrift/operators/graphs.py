@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_table, write_table
 
+#: Tasks that the nodes of one label are dealt over.
+SALTS = 32
+
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable. Every round each node takes the smallest label around it and
@@ -17,8 +20,12 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for _ in range(rounds):
         near = both.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
         step = label.join(near.withColumnRenamed("src", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = write_table(step.join(up, "component").select("node", "old", F.least("component", "up").alias("component")), "graph-labels")
+        # most nodes may share one label: the labels in use stand once a salt, and a label's nodes are dealt over the salts
+        used = step.groupBy("component").agg(F.lit(1).alias("_u")).select("component")
+        up = step.select(F.col("node").alias("component"), F.col("component").alias("up")).join(used, "component", "left_semi")
+        up = up.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = step.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        new = write_table(salted.join(up, ["component", "_salt"]).select("node", "old", F.least("component", "up").alias("component")), "graph-labels")
         moved = new.filter("component <> old").limit(1).count()
         drop_table(label)
         label = new.select("node", "component")
