@@ -1,6 +1,6 @@
 """Entropic optimal transport between the two sides of each group, iterated as Spark jobs over blocks.
 
-The points of a side are packed into blocks, as one array of numbers each. A list of pairs of blocks, by number alone, is joined to
+The points of a side are packed into blocks, as one array of numbers each, in the type they came in. A list of pairs of blocks, by number alone, is joined to
 the packed points, so that a group that holds a third of all points is spread over many tasks; a task holds two blocks. The
 potentials of both sides are tables with one array a block, renewed in turn by log-sums over the other side's blocks; a round is a job.
 Costs are squared distances over their median in the group, found exactly to rounding by histograms that are refined four times.
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_table, write_table
 
-#: Points of a block: a task holds the costs between two blocks.
-BLOCK = 1024
+#: Points of a block, and of these whose costs to another block stand in memory at once. The bytes that two sides of n points
+#: move in a round are n * n / BLOCK vectors.
+BLOCK, CHUNK = 4096, 256
 #: Bins and rounds of the median's histograms: the last bins are 2 ** -48 of the range.
 BINS, REFINED = 4096, 4
 NO_COLUMNS = "array<double>"
@@ -42,12 +43,32 @@ def blocked(points: DataFrame, side: str) -> DataFrame:
     load = F.col("payload") if "payload" in points.columns else F.array().cast(NO_COLUMNS)
     n = x.groupBy("grp").agg(F.count("*").alias("n"))
     x = x.join(n, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    rows = x.groupBy("grp", "block", "n").agg(F.sort_array(F.collect_list(F.struct("id", F.col("vec").cast(NO_COLUMNS).alias("vec"), load.cast(NO_COLUMNS).alias("payload")))).alias("p"))
+    rows = x.groupBy("grp", "block", "n").agg(F.sort_array(F.collect_list(F.struct("id", "vec", load.cast(NO_COLUMNS).alias("payload")))).alias("p"))
     return rows.select("grp", "block", "n", F.col("p.id").alias("ids"), F.flatten("p.vec").alias("flat"), F.flatten("p.payload").alias("load"))
 
 
-def meet(a: DataFrame, b: DataFrame, extra: DataFrame | None, scale: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(row, cost)`` of every two blocks of a group; ``extra`` has further columns by (grp, block) of ``b``."""
+def costs(p_flat, p_n: int, q_flat, q_n: int, scale: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances over the scale, ``CHUNK`` rows of the first block at a time."""
+    p, q = (np.reshape(np.asarray(flat, np.float64), (n, -1)) for flat, n in ((p_flat, p_n), (q_flat, q_n)))
+    square = (q**2).sum(1)[None]
+    for first in range(0, len(p), CHUNK):
+        part = slice(first, min(first + CHUNK, len(p)))
+        x = p[part]
+        yield part, np.maximum((x**2).sum(1)[:, None] + square - 2 * x @ q.T, 0.0) / scale
+
+
+def one_row(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """Parts of a block's arrays, end to end in one row; other columns from the first part."""
+    arrays = {c for c in frames[0] if isinstance(frames[0][c][0], np.ndarray)}
+    return pd.DataFrame({c: [np.concatenate([f[c][0] for f in frames])] if c in arrays else [frames[0][c][0]] for c in frames[0]})
+
+
+def summed(*keys: str) -> Callable[[list[pd.DataFrame]], pd.DataFrame]:
+    return lambda frames: pd.concat(frames).groupby(list(keys), as_index=False).sum()
+
+
+def meet(a: DataFrame, b: DataFrame, extra: DataFrame | None, scale: DataFrame, kernel: Callable, schema: str, merged: Callable = pd.concat) -> DataFrame:
+    """``kernel(row, part, cost)`` of the parts of every two blocks of a group, ``merged`` for the pair; ``extra`` has further columns by (grp, block) of ``b``."""
     pairs = a.select("grp", F.col("block").alias("i")).join(b.select("grp", F.col("block").alias("j")), "grp")  # numbers only
     left = a.select("grp", F.col("block").alias("i"), F.col("n").alias("np"), F.col("ids").alias("p_ids"), F.col("flat").alias("p_flat"))
     right = b.select("grp", F.col("block").alias("j"), F.col("n").alias("nq"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("load").alias("q_load"))
@@ -58,9 +79,7 @@ def meet(a: DataFrame, b: DataFrame, extra: DataFrame | None, scale: DataFrame,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                p, q = (np.reshape(flat, (len(ids), -1)) for ids, flat in ((r.p_ids, r.p_flat), (r.q_ids, r.q_flat)))
-                cost = np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T, 0.0) / r.scale
-                yield kernel(r, cost)
+                yield merged([kernel(r, part, cost) for part, cost in costs(r.p_flat, len(r.p_ids), r.q_flat, len(r.q_ids), r.scale)])
 
     return both.mapInPandas(run, schema)
 
@@ -69,14 +88,14 @@ def median_costs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(grp, scale): lower median of the squared distances between the sides, 1 where that is 0."""
     one = a.select("grp").distinct().join(b.select("grp").distinct(), "grp").withColumn("scale", F.lit(1.0))
 
-    def extremes(r, cost):
+    def extremes(r, part, cost):
         return pd.DataFrame({"grp": [r.grp], "low": [cost.min()], "high": [cost.max()], "n": [cost.size]})
 
     span = meet(a, b, None, one, extremes, "grp int, low double, high double, n long").groupBy("grp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     # rank (from 0) of the lower median, and how many costs lie below the range
     span = write_table(span.select("grp", "low", "high", F.floor((F.col("n") - 1) / 2).alias("rank"), F.lit(0).cast("long").alias("below"), F.lit(1.0).alias("scale")), "transport-median")
 
-    def binned(r, cost):
+    def binned(r, part, cost):
         c = cost.ravel()
         at = np.clip(np.floor((c - r.low) / max(r.high - r.low, 1e-300) * BINS), 0, BINS - 1).astype(int)[(c >= r.low) & (c <= r.high)]
         n = np.bincount(at, minlength=BINS)
@@ -84,7 +103,7 @@ def median_costs(a: DataFrame, b: DataFrame) -> DataFrame:
         return pd.DataFrame({"grp": r.grp, "bin": hit, "n": n[hit]})
 
     for _ in range(REFINED):
-        n = meet(a, b, None, span, binned, "grp int, bin long, n long").groupBy("grp", "bin").agg(F.sum("n").alias("n"))
+        n = meet(a, b, None, span, binned, "grp int, bin long, n long", summed("grp", "bin")).groupBy("grp", "bin").agg(F.sum("n").alias("n"))
         # at most BINS rows a group
         bins = n.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")).join(span, "grp")
         start = F.struct(F.col("below").alias("upto"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("before"))
@@ -108,14 +127,14 @@ def sinkhorn(points: DataFrame, epsilon: float = 0.05, iterations: int = 50, sca
     one = a.select("grp").distinct().join(b.select("grp").distinct(), "grp").withColumn("scale", F.lit(1.0))
     scale = write_table(median_costs(a, b) if scaled else one, "transport-scale")
 
-    def soft(r, cost):
+    def soft(r, part, cost):
         k = np.asarray(r.v)[None] - cost / epsilon
         top = k.max(1)
         return pd.DataFrame({"grp": [r.grp], "block": [r.i], "n": [r.np], "top": [top], "total": [np.exp(k - top[:, None]).sum(1)]})
 
     def renewed(x: DataFrame, y: DataFrame, potential: DataFrame) -> DataFrame:
         """One array of potentials a block, log-summed over all blocks of the other side."""
-        parts = meet(x, y, potential, scale, soft, "grp int, block int, n long, top array<double>, total array<double>")
+        parts = meet(x, y, potential, scale, soft, "grp int, block int, n long, top array<double>, total array<double>", one_row)
         cells = parts.select("grp", "block", "n", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("top") - 1).alias("at"), "top", "total")))
         cells = cells.toDF("grp", "block", "n", "at", "top", "total")
         s = cells.groupBy("grp", "block", "n", "at").agg(F.max("top").alias("most"), F.collect_list(F.struct("top", "total")).alias("parts"))
@@ -140,14 +159,14 @@ def rows_of(plan: Plan) -> DataFrame:
     entropy of its row, the confidence 1 - entropy / log(partners) within 0 and 1, and the mean of the partners' payloads."""
     epsilon = plan.epsilon
 
-    def part(r, cost):
+    def best_partners(r, part, cost):
         k = np.asarray(r.v)[None] - cost / epsilon
         top, at = k.max(1), k.argmax(1)
         e = np.exp(k - top[:, None])
         load = np.reshape(r.q_load, (len(r.q_ids), -1))
-        return pd.DataFrame({"grp": r.grp, "i": r.i, "at": np.arange(len(k)), "src": r.p_ids, "n": r.nq, "dst": np.asarray(r.q_ids)[at], "top": top, "s": e.sum(1), "h": (e * (k - top[:, None])).sum(1), "load": list(e @ load)})
+        return pd.DataFrame({"grp": r.grp, "i": r.i, "at": np.arange(part.start, part.stop), "src": r.p_ids[part], "n": r.nq, "dst": np.asarray(r.q_ids)[at], "top": top, "s": e.sum(1), "h": (e * (k - top[:, None])).sum(1), "load": list(e @ load)})
 
-    parts = meet(plan.a, plan.b, plan.g, plan.scale, part, "grp int, i int, at int, src long, n long, dst long, top double, s double, h double, load array<double>")
+    parts = meet(plan.a, plan.b, plan.g, plan.scale, best_partners, "grp int, i int, at int, src long, n long, dst long, top double, s double, h double, load array<double>")
     own = plan.f.select("grp", F.col("block").alias("i"), F.posexplode("v").alias("at", "fv"))
     best = parts.groupBy("grp", "i", "at", "src", "n").agg(F.max(F.struct("top", (-F.col("dst")).alias("d"))).alias("m"), F.collect_list(F.struct("top", "s", "h", "load")).alias("parts"))
     weight = lambda p: F.exp(p.top - F.col("m.top"))
@@ -170,7 +189,7 @@ def retrieval(plan: Plan, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
         n = F.size("ids")
         rows = side.join(pot, ["grp", "block"]).select("grp", "n", "flat", F.posexplode("ids").alias("at", "id"), "v", n.alias("m"))
         width = (F.size("flat") / F.col("m")).cast("int")
-        vecs.append(rows.select("grp", "n", "id", F.slice("flat", F.col("at") * width + 1, width).alias("x"), F.col("v")[F.col("at")].alias("pot")))
+        vecs.append(rows.select("grp", "n", "id", F.slice("flat", F.col("at") * width + 1, width).cast(NO_COLUMNS).alias("x"), F.col("v")[F.col("at")].alias("pot")))
     a, b = vecs
     square = F.aggregate(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     own = a.join(b.select("grp", "id", F.col("x").alias("y"), F.col("pot").alias("pot2")), ["grp", "id"]).join(plan.scale, "grp")
@@ -182,8 +201,8 @@ def retrieval(plan: Plan, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
         packed = mine.groupBy("grp", "block").agg(F.sort_array(F.collect_list(F.struct("at", "id", (F.col("t") - F.col("u")).alias("t")))).alias("z"))
         marked = x.join(packed, ["grp", "block"]).withColumn("load", F.col("z.t")).drop("z")
 
-        def above(r, cost):  # rows: y's points; columns: x's, whose truths are their load
-            k = np.asarray(r.v)[:, None] - cost / epsilon
+        def above(r, part, cost):  # rows: y's points; columns: x's, whose truths are their load
+            k = np.asarray(r.v)[part, None] - cost / epsilon
             return pd.DataFrame({"grp": r.grp, "id": r.q_ids, "n": r.nq, "above": (k > np.asarray(r.q_load)[None] + 1e-9).sum(0)})
 
         with_v = y.join(py, ["grp", "block"])
@@ -207,8 +226,7 @@ def meet_with(a: DataFrame, b: DataFrame, scale: DataFrame, kernel: Callable) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                x, y = (np.reshape(flat, (len(ids), -1)) for ids, flat in ((r.p_ids, r.p_flat), (r.q_ids, r.q_flat)))
-                yield kernel(r, np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0.0) / r.scale)
+                yield summed("grp", "id", "n")([kernel(r, part, cost) for part, cost in costs(r.p_flat, len(r.p_ids), r.q_flat, len(r.q_ids), r.scale)])
 
     return both.mapInPandas(run, "grp int, id long, n long, above long")
 
