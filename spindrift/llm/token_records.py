@@ -24,11 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_chars
 from .common import chunks, open_fs, partitions, shared_dir, small_batches, text_or_empty, write_table
 
 INDEX = "shard int, file string, ordinal long, doc_id long, offset long, n_bytes long, n_tokens long"
@@ -109,8 +112,8 @@ def unframe(records: list[bytes]) -> list[bytes]:
 class WordEncoder:
     """The tokenizers library, asked once for each distinct piece of a word.
 
-    Tokenizers that drop white space and mark word ends encode every pre-token alone, so pre-tokens are
-    kept by word and the new ones encoded together as one text; each ends at the first id that ends a word.
+    Tokenizers that drop white space and mark word ends encode every pre-token alone. So texts are cut at white space
+    and their distinct words numbered by Arrow; a word's ids are those that the library's model gives its pre-tokens.
     Texts with other scripts or special strings, and tokenizers of other kinds, go to the library whole.
     """
 
@@ -125,6 +128,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         size = self.library.get_vocab_size()
         self.dtype = "<u2" if size < 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
@@ -133,51 +137,54 @@ class WordEncoder:
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_word = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and bool(suffix)
         if self.by_word:
-            self.ends = np.zeros(size, bool)
-            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-            split = spec["pre_tokenizer"]["pretokenizers"][0]
-            self.by_word = split["behavior"] == "Removed" and split["invert"]
+            split, level = spec["pre_tokenizer"]["pretokenizers"]
+            self.by_word = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
             pattern = split["pattern"]["Regex"]
             for k in (r"\p{L}", r"\p{N}", r"\s"):
                 pattern = pattern.replace(k, "".join(re.escape(chr(i)) for i in range(0x250) if regex.match(k, chr(i))))
             self.pattern = re.compile(pattern)
-            special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)"
-            self.whole = re.compile(f"[^\\x00-\\x1b\\x20-\u012f\u0131-\u024f]|{special}")
+            self.shown = {b: c for c, b in byte_chars().items()}
+            self.special = [t["content"] for t in spec["added_tokens"]]
+            # letters whose small form lies beyond the classes spelt out are left to the library, as U+0130, which becomes two characters
+            near = "".join(re.escape(chr(i)) for i in range(0x250) if not 0x1C <= i < 0x20 and len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 0x250)
+            self.foreign = re.compile(f"[^{near}]")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        split = [self.pattern.findall(w.lower()) for w in words]
-        new = list({p for ps in split for p in ps} - self.pieces.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                raw, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
-                self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, [0, *stops], stops, strict=False))
-            else:
-                self.pieces.update(zip(part, self.ids(part), strict=True))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in zip(words, split, strict=True))
+        tokenize, letter, known = self.model.tokenize, "HI"[self.dtype == "<u4"], self.pieces.get
+        for w in words:
+            ids = b""
+            for p in self.pattern.findall(w.lower()):
+                own = known(p)
+                if own is None:
+                    raw = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.shown)
+                    tokens = tokenize(raw)
+                    own = self.pieces[p] = struct.pack(f"<{len(tokens)}{letter}", *[t.id for t in tokens])
+                ids += own
+            self.words[w] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.ids(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        out: list[bytes] = [b""] * len(texts)
+        whole = [self.foreign.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        odd, plain = ([i for i, x in enumerate(whole) if x is kind] for kind in (True, False))
         for i, x in zip(odd, self.ids([texts[i] for i in odd]), strict=True):
             out[i] = x
-        split = {i: t.split() for i, t in enumerate(texts) if out[i] is None}
         for kept in (self.words, self.pieces):
             if len(kept) > KEEP:
                 self.words.clear()
                 self.pieces.clear()
-        self.learn(list({w for ws in split.values() for w in ws} - self.words.keys()))
-        get = self.words.__getitem__
-        for i, ws in split.items():
-            out[i] = b"".join(map(get, ws))
+        split = pc.utf8_split_whitespace(pa.array([texts[i] for i in plain], pa.large_string()))
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([w for w in distinct if w not in self.words])
+        get = [self.words[w] for w in distinct].__getitem__
+        numbers, ends = words.indices.to_numpy().tolist(), split.offsets.to_numpy().tolist()
+        for i, a, b in zip(plain, ends, ends[1:], strict=False):
+            out[i] = b"".join(map(get, numbers[a:b]))
         return out
 
 

@@ -139,3 +139,26 @@ def test_long_texts_without_a_word_start(piece, monkeypatch):
     monkeypatch.setattr(token_count, "RUN_UP", 1)  # bad guesses only cost rounds
     monkeypatch.setattr(token_count, "LANE", 16)
     assert token_count.CountTransducer(PIECE).count(texts).tolist() == want
+
+
+def test_letters_whose_small_form_is_beyond_the_spelt_classes():
+    """Such letters (U+0181 becomes U+0253) were cut as signs, apart from the letters around them."""
+    path = P.path("word_bpe_49k.json")
+    texts = [f"x{chr(i)}y {chr(i)}'s" for i in range(0x250)]
+    enc = token_records.WordEncoder(path)
+    assert enc.encode(texts) == enc.ids(texts)
+
+
+def test_a_word_is_looked_up_once_a_chunk():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    enc = token_records.WordEncoder(P.path("word_bpe_49k.json"))
+    enc.words = Counted()
+    texts = ["red  green\n it's " * 500, "", " green"]
+    assert enc.encode(texts) == enc.ids(texts)
+    assert Counted.asked <= 4  # and the empty word before a leading space
