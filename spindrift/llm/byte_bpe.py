@@ -28,7 +28,7 @@ from .common import chunks, small_batches, text_or_empty
 #: Fixed value: the pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a Python worker keeps, and characters of the texts encoded together.
-KEEP, TOGETHER = 250_000, 1_000_000
+KEEP, TOGETHER = 120_000, 250_000
 NEVER = np.int64(1) << 40
 #: Bytes up to which pre-tokens are merged side by side in a NumPy grid; longer ones use a heap.
 WIDEST = 48
@@ -50,7 +50,7 @@ class SpeculativeBPE:
         import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)  # its pre-tokenizer serves scripts whose classes vary by Unicode version
+        self.pre = Tokenizer.from_file(path).pre_tokenizer  # it alone is kept; it serves scripts whose classes vary by Unicode version
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -71,7 +71,7 @@ class SpeculativeBPE:
         order = np.argsort(left * size + right, kind="stable")
         self.size, self.pair_keys, self.pair_ranks, self.pair_made = size, (left * size + right)[order], ranks[order], made[order]
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        self.merge = {(int(a), int(b)): (int(k), int(c)) for a, b, k, c in zip(left, right, ranks, made, strict=True)}
+        self.merge = dict(zip((left * size + right).tolist(), (ranks * size + made).tolist(), strict=True))  # of one long each, not of tuples
         # how each token is made: its parts and its rank, -1 for bytes
         self.rank = np.full(size, -1, np.int64)
         self.part = np.full((2, size), -1, np.int64)
@@ -158,8 +158,8 @@ class SpeculativeBPE:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (m := self.merge.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[j], m[1]))
+            if j < n and (m := self.merge.get(ids[i] * self.size + ids[j])) is not None:
+                heapq.heappush(heap, (m // self.size, i, ids[i], ids[j], m % self.size))
 
         for i in range(n):
             offer(i)
@@ -233,7 +233,7 @@ class SpeculativeBPE:
     def pretokens(self, text: str) -> list[str]:
         if not self.rare.search(text):
             return self.pattern.findall(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -162,3 +162,13 @@ def test_a_word_is_looked_up_once_a_chunk():
     texts = ["red  green\n it's " * 500, "", " green"]
     assert enc.encode(texts) == enc.ids(texts)
     assert Counted.asked <= 4  # and the empty word before a leading space
+
+
+def test_the_byte_codec_keeps_no_second_vocabulary():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own, library = byte_bpe.SpeculativeBPE(path), Tokenizer.from_file(path)
+    assert not any(isinstance(v, Tokenizer) for v in vars(own).values()) and all(type(k) is int for k in own.merge)
+    texts = ["abcabcab" * 30 + "x", "undergroundings" * 9, "中文 " * 40]  # merged by the heap; other scripts
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
