@@ -395,7 +395,7 @@ def graph_geodesics(spark: SparkSession, d: str) -> DataFrame:
     x = rows(spark, d).select("id", "vec", F.col("label").alias("lst"))
     x = x.join(x.groupBy("lst").count().filter("count > 10").select("lst"), "lst").select("id", "vec", "lst")
     e = index.nearest_in_lists(x, x, 5).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"))
-    return graphs.geodesics(e, x.filter("id % 100 = 0").select(F.col("id").alias("source")))
+    return graphs.geodesics(e, x.filter("id % 100 = 0").select(F.col("id").alias("source"), "lst"), within="lst")
 
 
 @query()

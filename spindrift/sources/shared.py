@@ -36,6 +36,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append_table(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df``, as Parquet, to those of a folder from ``shared_dir``."""
+    _written.add(path)
+    df.write.mode("append").parquet(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table from ``write_table`` that nothing reads any more."""
     spark = df.sparkSession
