@@ -23,7 +23,9 @@ from ..sources.shared import write_table
 #: Vectors of a tile, rows of the k-means sample (at 64 doubles 10 MB), lists at most, and rounds of k-means.
 TILE, SAMPLE, LISTS, ROUNDS = 4096, 20_000, 4096, 10
 #: Queries of a tile, and rows for which lists are sought, whose distances stand in memory at once.
-CHUNK, ROWS = 64, 1024
+CHUNK, ROWS = 128, 1024
+#: Tiles of members that a tile of queries meets in one task.
+MET = 16
 
 
 def tiles(points: DataFrame, tile: int, prefix: str) -> DataFrame:
@@ -40,28 +42,51 @@ def squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(nx[:, None] + ny[None] - 2 * x @ y.T, 0.0), 1e-12 * (nx + np.nanmax(ny, initial=0.0))
 
 
-def nearest_few(q_ids: np.ndarray, x: np.ndarray, m_ids: np.ndarray, y: np.ndarray, k: int, include_self: bool) -> pd.DataFrame:
-    """The k nearest rows of ``y`` of each row of ``x``, ties by id. Products choose the rows that may be among them; only these
-    are measured by differences, to 12 digits."""
-    out = []
+def nearest_few(q_ids: np.ndarray, x: np.ndarray, m_ids: np.ndarray, y: np.ndarray, k: int, include_self: bool, best: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The k nearest rows of ``y`` of each row of ``x``, ties by id, as (row of x, id, neighbour, distance); ``best``, the result
+    for other rows of ``y``, takes part. Products choose the rows that may be among them; only these are measured by
+    differences, to 12 digits. A row with k neighbours in ``best`` has a bound already, so nothing is sorted for it."""
+    kth, last = np.full(len(x), np.inf), min(k, len(y)) - 1
+    if best is not None:
+        full = best[best.groupby("row").cumcount() == k - 1]
+        kth[full.row] = full.distance
+    shared = not include_self and len(np.intersect1d(q_ids, m_ids)) > 0
+    nx, ny, turned = (x * x).sum(1), (y * y).sum(1), np.ascontiguousarray(y.T)
+    top = np.nanmax(ny, initial=0.0)
+    room, dark = np.empty((min(CHUNK, len(x)), len(y))), np.empty((min(CHUNK, len(x)), len(y)), bool)
+    out = [] if best is None else [best]
     for first in range(0, len(x), CHUNK):
-        at, v = q_ids[first : first + CHUNK], x[first : first + CHUNK]
-        d, error = squared(v, y)
-        own = np.zeros(d.shape, bool) if include_self else at[:, None] == m_ids[None]
-        d[own] = np.inf
-        kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-        reach = (np.sqrt(kth + 2 * error) + 1e-11) ** 2 + 2 * error  # distances are compared after rounding
-        rows, cols = np.nonzero(~(d > reach[:, None]) & ~own)  # distances that are no numbers come last
+        at, v, n = q_ids[first : first + CHUNK], x[first : first + CHUNK], nx[first : first + CHUNK]
+        d = np.matmul(-2 * v, turned, out=room[: len(v)])
+        d += ny  # squared distances less the norm of the query
+        if shared:
+            own = at[:, None] == m_ids[None]
+            d[own] = np.inf
+        error, bound = 1e-12 * (n + top), kth[first : first + CHUNK].copy()
+        new = np.isinf(bound)
+        if new.any():
+            few = d if new.all() else d[new]
+            few = np.partition(few, last, axis=1)[:, last] + n[new]
+            bound[new] = np.sqrt(np.maximum(few, 0.0) + 2 * error[new])
+        reach = (bound + 1e-11) ** 2 + 2 * error - n  # distances are compared after rounding
+        far = np.greater(d, reach[:, None], out=dark[: len(v)])  # distances that are no numbers come last
+        if shared:
+            far |= own
+        rows, cols = np.divmod(np.flatnonzero(~far), len(y))
         dist = np.empty(len(rows))
         for i in range(0, len(rows), 1 << 16):
             part = slice(i, i + (1 << 16))
             dist[part] = np.round(np.sqrt(((y[cols[part]] - v[rows[part]]) ** 2).sum(1)), 12)
-        order = np.lexsort((m_ids[cols], dist, rows))
-        rows, cols, dist = rows[order], cols[order], dist[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = place < k
-        out.append(pd.DataFrame({"id": at[rows[keep]], "neighbour": m_ids[cols[keep]], "distance": dist[keep]}))
-    return pd.concat(out, ignore_index=True)
+        found = pd.DataFrame({"row": first + rows, "id": at[rows], "neighbour": m_ids[cols], "distance": dist})
+        out.append(first_few(found, k) if len(found) > 4 * k * len(v) else found)
+    return first_few(pd.concat(out, ignore_index=True), k)
+
+
+def first_few(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of each row, in order."""
+    found = found.iloc[np.lexsort((found.neighbour, found.distance, found.row))]
+    rows = found.row.to_numpy()
+    return found[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
 
 
 def met_tiles(q: DataFrame, m: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
@@ -85,15 +110,37 @@ def packed_members(members: DataFrame) -> DataFrame:
 def nearest_in_lists(queries: DataFrame, members: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest members (id, vec, lst) of each query (id, vec, lst) in its
     lists, itself left out unless ``include_self``; ties by id. A query may stand in several lists, a member in one."""
-    return nearest_in_tiles(queries, packed_members(members), k, include_self)
+    m = packed_members(members)
+    return nearest_in_tiles(as_queries(m) if queries is members else queries, m, k, include_self)
+
+
+def as_queries(m: DataFrame) -> DataFrame:
+    """Tiles of members, named as tiles of queries."""
+    return m.select("lst", F.col("mt").alias("qt"), F.col("m_ids").alias("q_ids"), F.col("m_flat").alias("q_flat"))
 
 
 def nearest_in_tiles(queries: DataFrame, m: DataFrame, k: int, include_self: bool = False) -> DataFrame:
-    """``nearest_in_lists`` for members that ``packed_members`` has written."""
-    q = write_table(tiles(queries, TILE, "q"), "index-queries")
-    pairs = q.select("lst", "qt").join(m.select("lst", "mt"), "lst")  # numbers of tiles only
-    kernel = lambda q_ids, x, m_ids, y: nearest_few(q_ids, x, m_ids, y, k, include_self)
-    found = met_tiles(q, m, pairs, kernel, "id long, neighbour long, distance double")
+    """``nearest_in_lists`` for members that ``packed_members`` has written; queries may be tiles already (``as_queries``)."""
+    q = queries if "q_flat" in queries.columns else write_table(tiles(queries, TILE, "q"), "index-queries")
+    # numbers of tiles only; a tile of queries meets up to MET tiles of members in one task, one after another
+    pairs = q.select("lst", "qt").join(m.select("lst", "mt", F.floor(F.col("mt") / MET).alias("run")), "lst")
+    runs = pairs.select("lst", "qt", "run").distinct().join(q, ["lst", "qt"])
+    met = pairs.join(m, ["lst", "mt"]).join(runs, ["lst", "qt", "run"]).select("lst", "qt", "run", "q_ids", "q_flat", "m_ids", "m_flat")
+
+    def search_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, best = None, None
+        for b in batches:
+            for lst, qt, run, q_ids, q_flat, m_ids, m_flat in b.itertuples(index=False):
+                if key != (lst, qt, run):
+                    if best is not None:
+                        yield best[["id", "neighbour", "distance"]]
+                    key, best, x = (lst, qt, run), None, np.reshape(np.asarray(q_flat, np.float64), (len(q_ids), -1))
+                y = np.reshape(np.asarray(m_flat, np.float64), (len(m_ids), -1))
+                best = nearest_few(np.asarray(q_ids), x, np.asarray(m_ids), y, k, include_self, best)
+        if best is not None:
+            yield best[["id", "neighbour", "distance"]]
+
+    found = met.mapInPandas(search_tiles, "id long, neighbour long, distance double")
     order = W.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

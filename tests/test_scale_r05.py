@@ -1,11 +1,12 @@
-"""Searches for hops hold a row per block of sources and node; same results."""
+"""Searches inside labels and hops: what was computed twice, or held as a row per pair, is not; same results."""
 
 import collections
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from spindrift.operators import graphs
+from spindrift.operators import graphs, index
 
 
 def counted(monkeypatch, module, name):
@@ -55,3 +56,46 @@ def test_hops_hold_a_row_per_block_and_node(spark, monkeypatch, words, within):
     blocks = -(-len(sources) // (64 * words))
     most = max(n for what, n, _ in rounds if what == "geodesics")
     assert most <= nodes * blocks and most < len(got) / 10
+
+
+def test_searched_edges_are_computed_once(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(60, 4))
+    v = spark.createDataFrame([(i, [float(t) for t in p], i % 2) for i, p in enumerate(x)], "id long, vec array<float>, lst int")
+    packed, real = [], index.tiles
+    monkeypatch.setattr(index, "tiles", lambda points, tile, prefix: packed.append(prefix) or real(points, tile, prefix))
+    e = index.nearest_in_lists(v, v, 3).selectExpr("id as src", "neighbour as dst")
+    assert packed == ["m"]  # the queries are the members
+    made = counted(monkeypatch, graphs, "")
+    graphs.components(e)
+    graphs.geodesics(e, v.selectExpr("id as source").filter("id % 10 = 0"))
+    graphs.geodesics(e.selectExpr("src", "dst", "1.5 as w"), v.selectExpr("id as source").filter("id % 10 = 0"), "w")
+    plans = [p for what, _, p in made if what.endswith("edges")]
+    assert len(plans) == 3 and all(p.count("MapInPandas") == 1 for p in plans)
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+def test_tiles_met_one_after_another_equal_all_at_once(include_self):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(150, 5)).astype(np.float32).astype(float)
+    x[100:120], x[7], x[130:135] = x[0], np.nan, np.nan  # copies, no numbers
+    ids = r.permutation(150)
+    want = index.nearest_few(ids, x, ids, x, 12, include_self).reset_index(drop=True)
+    best = None
+    for part in np.array_split(r.permutation(150), 21):  # tiles of fewer rows than are sought
+        best = index.nearest_few(ids, x, ids[part], x[part], 12, include_self, best)
+    pd.testing.assert_frame_equal(best.reset_index(drop=True), want)
+
+
+@pytest.mark.parametrize("met", [1, 2, 16])
+def test_runs_of_tiles_equal_brute_force(spark, monkeypatch, met):
+    monkeypatch.setattr(index, "TILE", 15)
+    monkeypatch.setattr(index, "MET", met)
+    x = np.random.default_rng(9).integers(0, 4, (120, 3)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, [float(t) for t in p], int(i > 30)) for i, p in enumerate(x)], "id long, vec array<float>, lst int")
+    for queries in (v, v.filter("id % 3 = 0")):
+        got = {}
+        for n in index.nearest_in_lists(queries, v, 6).orderBy("id", "rank").collect():
+            got.setdefault(n.id, []).append(n.neighbour)
+        for i in (q.id for q in queries.select("id").collect()):
+            others = [j for j in range(120) if j != i and (j > 30) == (i > 30)]
+            assert got[i] == sorted(others, key=lambda j: (np.round(np.sqrt(((x[i] - x[j]) ** 2).sum()), 12), j))[:6]
