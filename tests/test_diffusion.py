@@ -4,8 +4,10 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spindrift.operators import diffusion, graphs
+from spindrift.operators import diffusion, graphs, spectral
+from spindrift.sources.shared import write_table
 
 
 def knn(x, k):
@@ -77,3 +79,15 @@ def test_geodesics(spark):
         want = {(s, n): x for s in (0, 5, 100, 999) for n, x in plain(s, weight).items()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert graphs.geodesics(df, sources.limit(0)).count() == 0
+
+
+def test_close_values_settle(spark):
+    """A ring, whose leading values differ by a few hundredths: restarts alone take about eight of them."""
+    n = 90
+    ring = spark.createDataFrame([(i, (i + s) % n, w) for i in range(n) for s, w in ((-1, 0.25), (0, 0.5), (1, 0.25))], "row long, col long, value double")
+    keys = write_table(ring.select(F.col("row").alias("key")).distinct(), "ring")
+    vectors, values = spectral.leading_eigen(lambda block, width: spectral.times(ring, block, "col", "row", width, n), keys, 4, steps=5, tolerance=1e-6, restarts=4)
+    assert np.abs(2 * values - 1 - np.cos(2 * np.pi * np.array([0, 1, 1, 2]) / n)).max() < 1e-9
+    v = np.array([r.v for r in vectors.orderBy("key").collect()])
+    assert np.abs((np.roll(v, 1, 0) + 2 * v + np.roll(v, -1, 0)) / 4 - v * values).max() < 1e-5
+    assert np.abs(v.T @ v - np.eye(4)).max() < 1e-9
