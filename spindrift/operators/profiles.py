@@ -15,12 +15,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[floa
 
     Equal values are counted first; approximate quantiles cut each group's distinct values into buckets, whose
     counts tell in which bucket a rank lies; only the values of those buckets are put in order. So neither an
-    aggregation buffer nor a sort ever holds all values of a group. The counts, which are read several times, are written.
+    aggregation buffer nor a sort ever holds all values of a group. Counts and cuts, which are read several times, are written.
     """
     g = [*by, "_one"]
     n = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(0)).groupBy(*g, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     n = write_table(n, "quantiles")
     cuts = n.groupBy(*g).agg(F.percentile_approx("_v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 20 * buckets).alias("_cuts"), F.sum("_c").alias("n"))
+    cuts = write_table(cuts, "quantiles")  # sketches merged in another order are others: all readers must see the same
     filed = n.join(F.broadcast(cuts.select(*g, "_cuts")) if not by else cuts.select(*g, "_cuts"), g)
     filed = filed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     held = filed.groupBy(*g, "_b").agg(F.sum("_c").alias("_c"))
