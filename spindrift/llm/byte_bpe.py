@@ -50,6 +50,7 @@ class SpeculativeBPE:
         import regex
         from tokenizers import Tokenizer
 
+        self.path = path
         self.pre = Tokenizer.from_file(path).pre_tokenizer  # it alone is kept; it serves scripts whose classes vary by Unicode version
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -96,6 +97,13 @@ class SpeculativeBPE:
         self.greedy.make_automaton()
         self.done: dict[str, bytes] = {}
 
+    @property
+    def library(self):
+        """The library's tokenizer of the same file, to compare with; loaded anew at each use, as no worker needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def exact(self, word: bytes) -> list[int]:
         """Merge by merge, best rank first, leftmost first."""
         return self.exact_long(word) if len(word) > WIDEST else self.exact_many([word])[0].tolist()
